@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,3 +73,16 @@ def small(df: DataFrame, most_rows: int, rows: int | None = None) -> DataFrame:
 def held_out(doc_id: Column) -> Column:
     """Rows kept from every kind of training: crc32 of the id as text, divisible by 5."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
+
+
+def with_score(docs: DataFrame, text_col: str, name: str, scores: Callable[[pa.Array], object]) -> DataFrame:
+    """docs with a double column made from whole texts, batch by batch; a column of that name is replaced."""
+    kept = docs.drop(name)
+    schema = kept.withColumn(name, F.lit(0.0)).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = pa.array(scores(b.column(b.schema.get_field_index(text_col))), pa.float64())
+            yield pa.RecordBatch.from_arrays([*b.columns, made], names=[*b.schema.names, name])
+
+    return kept.mapInArrow(run, schema)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from chronolake.llm import exact_dedup, license_scan, mixing, sharding
+from chronolake.llm import exact_dedup, license_scan, mixing, sharding, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op6_reshard": sharding.op6_reshard,
     "op8_mix_sources": mixing.op8_mix_sources,

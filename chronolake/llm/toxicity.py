@@ -1,7 +1,7 @@
 """Toxicity: gradient-boosted trees over dense features of the whole text, with isotonic calibration.
 
-Features: densities of a fixed insult lexicon and of words learned from the labelled rows, both also after undoing
-look-alike characters; how near insults stand to a second person; capitals, punctuation and obfuscation rates; length.
+Features: densities of a fixed insult lexicon and of a learned one (words and beginnings of words that labelled toxic
+rows hold far more often, weighed by their log-odds; a word counts by its best beginning), also after undoing look-alike characters; how near insults stand to a second person; capitals, punctuation and obfuscation rates; length.
 The trees learn from at most `most_rows` labelled rows (documented bound); the isotonic map from a fold of them that the
 trees have not seen. Rows whose crc32 of the id divides by 5 are never learned from.
 
@@ -39,10 +39,35 @@ LOOK_ALIKES = str.maketrans("0134578@$!", "oieastbasi")
 TOKEN = re.compile(r"[^\W_]+(?:[@$*!0-9]+[^\W\d_]+)*")
 ODD = re.compile(r"[^\W\d_][@$*0-9]+[^\W\d_]|([^\W\d_])\1\1")
 NEAR = 6
-FEATURES = 16
-
-
-def features(text: str | None, learned: frozenset[str]) -> list[float]:
+FEATURES = 18
+#: Lengths of the beginnings of words that the learned lexicon may hold next to whole words.
+BEGINNINGS = range(3, 9)
+#: Words whose weight a Lexicon remembers.
+REMEMBERED = 200_000
+
+
+class Lexicon:
+    """Terms with log-odds: whole words as they are, beginnings with a hyphen after them."""
+
+    def __init__(self, terms: dict[str, float]):
+        self.terms, self._known = terms, {}
+
+    def weight(self, word: str) -> float:
+        found = self._known.get(word)
+        if found is None:
+            terms = self.terms
+            found = terms.get(word, 0.0)
+            for k in BEGINNINGS:
+                if k > len(word):
+                    break
+                found = max(found, terms.get(word[:k] + "-", 0.0))
+            if len(self._known) >= REMEMBERED:
+                self._known.clear()
+            self._known[word] = found
+        return found
+
+
+def features(text: str | None, lexicon: Lexicon) -> list[float]:
     if not text:
         return [0.0] * FEATURES
     raw = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
@@ -52,18 +77,21 @@ def features(text: str | None, learned: frozenset[str]) -> list[float]:
     shouts = int((raw == 33).sum())
     words = TOKEN.findall(text.lower())
     n = len(words) or 1
-    fixed, known, hidden, persons, at = 0, 0, 0, [], []
+    fixed, known, weight, most, hidden, persons, at = 0, 0, 0.0, 0.0, 0, [], []
+    weigh = lexicon.weight
     for i, w in enumerate(words):
         if w in INSULTS:
             fixed += 1
             at.append(i)
         elif w in SECOND_PERSON:
             persons.append(i)
-        if w in learned:
+        if own := weigh(w):
             known += 1
+            weight += own
+            most = max(most, own)
             if w not in INSULTS:
                 at.append(i)
-        elif not w.isalpha() and (plain := w.translate(LOOK_ALIKES).replace("*", "")) != w and (plain in INSULTS or plain in learned):
+        elif not w.isalpha() and (plain := w.translate(LOOK_ALIKES).replace("*", "")) != w and (plain in INSULTS or weigh(plain)):
             hidden += 1
             at.append(i)
     if at and persons:
@@ -80,6 +108,8 @@ def features(text: str | None, learned: frozenset[str]) -> list[float]:
         100 * hidden / n,
         math.log1p(fixed),
         math.log1p(known),
+        100 * weight / n,
+        most,
         math.log1p(len(at)),
         100 * near / n,
         near / len(at) if at else 0.0,
@@ -94,46 +124,47 @@ def features(text: str | None, learned: frozenset[str]) -> list[float]:
     ]
 
 
-def learned_words(sample_docs: DataFrame, most_words: int, least_share: float) -> frozenset[str]:
-    """Words that at least such a share of the toxic rows hold and other rows hardly do; at most most_words, by log-odds."""
-    seen = sample_docs.select("y", F.explode(F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}]+"))).alias("w"))
-    total = sample_docs.agg(F.sum("y"), F.sum(1 - F.col("y"))).first()
-    toxic, clean = (int(x or 0) for x in total)
+def learned_lexicon(sample: DataFrame, most_terms: int, least_share: float) -> Lexicon:
+    """Terms that at least such a share of the toxic rows hold (4 rows at least) and other rows hardly do; the most_terms that tell most."""
+    words = F.filter(F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}]+")), lambda w: w != "")
+    terms = [F.transform(F.filter(words, lambda w, k=k: F.length(w) >= k), lambda w, k=k: F.concat(F.substring(w, 1, k), F.lit("-"))) for k in BEGINNINGS]
+    seen = sample.select("y", F.explode(F.array_distinct(F.concat(words, *terms))).alias("term"))
+    toxic, clean = (int(x or 0) for x in sample.agg(F.sum("y"), F.sum(1 - F.col("y"))).first())
     if not toxic or not clean:
-        return frozenset()
-    counts = seen.where("w <> ''").groupBy("w").agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("c"))
+        return Lexicon({})
+    counts = seen.groupBy("term").agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("c"))
     odds = F.log((F.col("t") + 0.5) / (toxic + 1.0)) - F.log((F.col("c") + 0.5) / (clean + 1.0))
-    top = counts.where(F.col("t") >= max(3.0, least_share * toxic)).select("w", odds.alias("odds")).where("odds > 2.5")
-    return frozenset(r["w"] for r in top.orderBy(F.desc("odds"), "w").limit(most_words).collect())
+    top = counts.where(F.col("t") >= max(4.0, least_share * toxic)).select("term", odds.alias("odds"), (F.col("t") * odds).alias("told")).where("odds > 2.5")
+    return Lexicon({r["term"]: r["odds"] for r in top.orderBy(F.desc("told"), "term").limit(most_terms).collect()})
 
 
 class ToxicityModel:
-    def __init__(self, learned: frozenset[str], trees: Trees, curve: Isotonic | None):
-        self.learned, self.trees, self.curve = learned, trees, curve
+    def __init__(self, lexicon: Lexicon, trees: Trees, curve: Isotonic | None):
+        self.lexicon, self.trees, self.curve = lexicon, trees, curve
 
     def score(self, texts: list[str | None]) -> np.ndarray:
-        x = np.array([features(t, self.learned) for t in texts]).reshape(-1, FEATURES)
+        x = np.array([features(t, self.lexicon) for t in texts]).reshape(-1, FEATURES)
         return np.full(len(x), 0.499) if self.curve is None else self.curve(self.trees.margin(x))
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, most_words: int = 200, least_share: float = 0.08) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, most_terms: int = 500, least_share: float = 0.01) -> ToxicityModel:
     """Learns from at most most_rows labelled rows; features, not texts, come to the driver."""
     sample = labelled_sample(labels, "toxic", most_rows)
     rows = common.cut(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id"))
-    learned = learned_words(rows.where("fold < 4"), most_words, least_share)
+    lexicon = learned_lexicon(rows.where("fold < 4"), most_terms, least_share)
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"y": b["y"], "fold": b["fold"], "x": [features(t, learned) for t in b["text"]]})
+            yield pd.DataFrame({"y": b["y"], "fold": b["fold"], "x": [features(t, lexicon) for t in b["text"]]})
 
     got = rows.mapInPandas(extract, "y int, fold int, x array<double>").toPandas()
     x, y, fold = np.array(got["x"].tolist()).reshape(-1, FEATURES), got["y"].to_numpy(float), got["fold"].to_numpy()
     order = np.lexsort([*x.T, y])  # the rows' order changes from run to run
     x, y, fold = x[order], y[order], fold[order]
     if len(np.unique(y[fold < 4])) < 2 or not (fold == 4).any():
-        return ToxicityModel(learned, Trees(), None)
+        return ToxicityModel(lexicon, Trees(), None)
     trees = Trees().fit(x[fold < 4], y[fold < 4])
-    return ToxicityModel(learned, trees, Isotonic().fit(trees.margin(x[fold == 4]), y[fold == 4]))
+    return ToxicityModel(lexicon, trees, Isotonic().fit(trees.margin(x[fold == 4]), y[fold == 4]))
 
 
 def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", name: str = "score") -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from chronolake.llm import exact_dedup, license_scan, mixing, sharding, toxicity
+from chronolake.llm import exact_dedup, license_scan, mixing, quality, sharding, token_files, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op7_quality": quality.op7_quality,
+    "op5_token_files": token_files.op5_token_files,
     "op6_reshard": sharding.op6_reshard,
     "op8_mix_sources": mixing.op8_mix_sources,
     "op10_license_scan": license_scan.op10_license_scan,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chronolake.llm import exact_dedup, license_scan, mixing, quality, sharding, token_files, toxicity
+from chronolake.llm import decontamination, exact_dedup, license_scan, mixing, quality, sharding, token_files, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_token_files": token_files.op5_token_files,
     "op6_reshard": sharding.op6_reshard,
     "op8_mix_sources": mixing.op8_mix_sources,
+    "op9_decontaminate": decontamination.op9_decontaminate,
     "op10_license_scan": license_scan.op10_license_scan,
 }
 ORACLE_SQL = {

@@ -234,6 +234,7 @@ def join_group(ids: list[int], sets: list[np.ndarray], percent: int = PERCENT) -
                     if 2 * shared > n and answers[like].any():
                         other = tokens[like]
                         overlap = answers[like] + counted(np.setdiff1d(own, other, True)) - counted(np.setdiff1d(other, own, True))
+                        overlap[like] = shared  # its own shingles that no other set has are in no list
                         overlap[x] = n
                     else:
                         overlap = counted(own)

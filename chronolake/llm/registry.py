@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from chronolake.llm import decontamination, exact_dedup, jaccard_join, license_scan, mixing, quality, sharding, token_files, toxicity
+from chronolake.llm import decontamination, exact_dedup, jaccard_join, license_scan, mixing, quality, sharding, substring_dedup, token_files, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_jaccard_join": jaccard_join.op2_jaccard_join,
+    "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op7_quality": quality.op7_quality,
     "op5_token_files": token_files.op5_token_files,

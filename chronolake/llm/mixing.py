@@ -80,10 +80,13 @@ def targets(rows: DataFrame, max_epochs: int, cycle: int) -> DataFrame:
     return sources.withColumn("target", target)
 
 
-def mix_counts(
+def plan(
     docs: DataFrame, seed: int = 17, max_epochs: int = 3, cycle: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source"
-) -> DataFrame:
-    """One row per row of docs: doc_id, size, source_size, target, reps (repetitions the mix takes), taken = size * reps."""
+) -> tuple[DataFrame, DataFrame, int]:
+    """The sized rows; one row per source with source_size, target, whole and cut; and the number of sources.
+
+    A row is taken `whole` times, and once more if its (place, doc_id, size) is no later than its source's cut (null: none is).
+    """
     rows = common.cut(sized(docs, seed, id_col, text_col, source_col))
     per_source = targets(rows, max_epochs, cycle).withColumn(
         "whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
@@ -94,46 +97,60 @@ def mix_counts(
         )
     )
     n = per_source.count()
-    slice_of = F.expr("cast(place * slices div 4503599627370496 as bigint)")
-    wide = (
-        rows.withColumnRenamed("source", "s")
-        .join(common.small(per_source, BROADCAST_SOURCES, n), F.col("s").eqNullSafe(F.col("source")))
-        .withColumn("slice", slice_of)
-    )
+    wide = joined(rows, per_source, n).withColumn("slice", F.expr("cast(place * slices div 4503599627370496 as bigint)"))
     before = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     sums = (
         wide.groupBy("source", "slice", "missing")
         .agg(F.sum("size").alias("slice_size"))
         .withColumn("base", F.coalesce(F.sum("slice_size").over(before), F.lit(0)))
     )
-    cuts = sums.where((F.col("base") <= F.col("missing")) & (F.col("base") + F.col("slice_size") > F.col("missing"))).groupBy("source").agg(
-        F.min("slice").alias("cut_slice"), F.min_by("base", "slice").alias("base")
+    # The last slice that begins within the missing size holds the cut; slices before it are taken whole.
+    last = sums.where(F.col("base") <= F.col("missing")).groupBy("source").agg(F.max("slice").alias("cut_slice"), F.max_by("base", "slice").alias("base"))
+    last = common.cut(last.withColumnRenamed("source", "cut_source"))
+    inside = wide.join(
+        common.small(last, BROADCAST_SOURCES, n), F.col("source").eqNullSafe(F.col("cut_source")) & (F.col("slice") == F.col("cut_slice"))
     )
-    cuts = common.cut(cuts.withColumnRenamed("source", "cut_source"))
-    wide = wide.join(common.small(cuts, BROADCAST_SOURCES, n), F.col("s").eqNullSafe(F.col("cut_source")), "left")
-    # A source without a cut has nothing missing beyond its last document: all of it is taken once more if anything is missing.
-    outside = wide.where("cut_slice is null or slice <> cut_slice").withColumn(
-        "extra", F.when(F.col("cut_slice").isNull(), F.col("missing") > 0).otherwise(F.col("slice") < F.col("cut_slice"))
-    )
-    inside = wide.where("slice = cut_slice").withColumn(
-        "ahead",
-        F.col("base")
-        + F.coalesce(
-            F.sum("size").over(
-                Window.partitionBy("source").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-            ),
-            F.lit(0),
-        ),
-    )
-    inside = inside.withColumn("extra", F.col("ahead") + F.col("size") / 2.0 <= F.col("missing")).drop("ahead")
-    return outside.unionByName(inside).select(
-        "doc_id",
-        "size",
-        "source_size",
-        "target",
-        (F.col("whole") + F.col("extra").cast("long")).alias("reps"),
-        (F.col("size") * (F.col("whole") + F.col("extra").cast("long"))).alias("taken"),
+    order = Window.partitionBy("source").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = F.col("base") + F.coalesce(F.sum("size").over(order), F.lit(0))
+    taken = inside.withColumn("ahead", ahead).where(F.col("ahead") + F.col("size") / 2.0 <= F.col("missing"))
+    cuts = taken.groupBy("source").agg(F.max(F.struct("place", "doc_id", "size")).alias("cut"))
+    # Without a row taken from the cut's slice, the slices before it end the part that is taken.
+    edge = last.select(F.col("cut_source").alias("s"), F.expr("cut_slice").alias("cut_slice"))
+    out = (
+        per_source.join(cuts.withColumnRenamed("source", "c"), F.col("source").eqNullSafe(F.col("c")), "left")
+        .join(edge, F.col("source").eqNullSafe(F.col("s")), "left")
+        .select("source", "source_size", "target", "whole", "slices", "cut", "cut_slice")
     )
+    return rows, common.cut(out), n
+
+
+def joined(rows: DataFrame, per_source: DataFrame, n: int) -> DataFrame:
+    """rows with their source's columns; the table of sources is broadcast as long as it is small."""
+    return rows.withColumnRenamed("source", "_of").join(common.small(per_source, BROADCAST_SOURCES, n), F.col("_of").eqNullSafe(F.col("source"))).drop("_of")
+
+
+def repetitions(at: Column, doc_id: Column, size: Column, prefix: str = "") -> Column:
+    """Repetitions of a row with this place, from its source's columns."""
+    source = lambda name: F.col(prefix + name)
+    own = F.struct(at.alias("place"), doc_id.alias("doc_id"), size.alias("size"))
+    slice_before = F.call_function("div", at * source("slices"), F.lit(4503599627370496)) < source("cut_slice")
+    return source("whole") + (F.coalesce(slice_before, F.lit(False)) | F.coalesce(own <= source("cut"), F.lit(False))).cast("long")
+
+
+def mix_counts(docs: DataFrame, **options) -> DataFrame:
+    """One row per row of docs: doc_id, size, source_size, target, reps (repetitions the mix takes), taken = size * reps."""
+    rows, per_source, n = plan(docs, **options)
+    reps = repetitions(F.col("place"), F.col("doc_id"), F.col("size"))
+    return joined(rows, per_source, n).withColumn("reps", reps).select("doc_id", "size", "source_size", "target", "reps", (F.col("size") * F.col("reps")).alias("taken"))
+
+
+def mix(docs: DataFrame, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The rows of docs, each as often as the mix takes it. Nothing but the table of sources is joined, so that texts are not shuffled."""
+    _, per_source, n = plan(docs, seed=seed, id_col=id_col, text_col=text_col, source_col=source_col, **options)
+    own = per_source.select(F.struct(*per_source.columns).alias("_mix"))
+    wide = docs.join(common.small(own, BROADCAST_SOURCES, n), F.col(source_col).cast("string").eqNullSafe(F.col("_mix.source")))
+    reps = repetitions(place(F.col(id_col), seed), F.col(id_col), word_count(F.col(text_col)), "_mix.")
+    return wide.withColumn("_nth", F.explode(F.array_repeat(F.lit(0), reps.cast("int")))).drop("_mix", "_nth")
 
 
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -61,7 +61,8 @@ class Compiler:
             like = text.like(str(tree.pattern.value))
             return ~like if tree.negated else like
         if isinstance(tree, sql.IsNull):
-            value = self.value(tree.arg)
+            missing = isinstance(tree.arg, sql.Name) and tree.arg.name.lower() != "time" and not self.known(tree.arg.name)
+            value = F.lit(None) if missing else self.value(tree.arg)
             return value.isNotNull() if tree.negated else value.isNull()
         if isinstance(tree, sql.Name):
             return self._compare("=", tree, sql.Literal(True))

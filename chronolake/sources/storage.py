@@ -43,6 +43,7 @@ class Warehouse:
         self.spark, self.root = spark, root.rstrip("/")
         self.files = Files(spark, root)
         self.lock = threading.RLock()
+        self._scans: dict[tuple[str, str], Measurement] = {}  # until the table changes: its files are listed once
         self.files.make(self.root)
         found = self.files.read(f"{self.root}/catalog.json")
         self.catalog = json.loads(found) if found else {"databases": ["default"], "buckets": [], "tokens": [], "tables": {}}
@@ -70,6 +71,7 @@ class Warehouse:
                 raise NotFound(f"database not found: {name}")
             self.catalog["databases"].remove(name)
             self.catalog["tables"].pop(name, None)
+            self._scans.clear()
             self._save()
             self.files.delete(f"{self.root}/{folder(name)}")
 
@@ -129,11 +131,16 @@ class Warehouse:
         table = self.tables(database).get(measurement)
         if table is None:
             raise TableNotFound(measurement)
+        if (database, measurement) in self._scans:
+            return self._scans[database, measurement]
         df = self.spark.read.schema(self.schema(table)).parquet(self._where(database, measurement))
         fields = {name: {k: f"{k}:{name}" for k in kinds} for name, kinds in table["fields"].items()}
-        return Measurement(measurement, df, {t: f"t:{t}" for t in table["tags"]}, fields, day="day")
+        found = Measurement(measurement, df, {t: f"t:{t}" for t in table["tags"]}, fields, day="day")
+        self._scans[database, measurement] = found
+        return found
 
     def _grow(self, database: str, measurement: str, tags: list[str], fields: dict[str, list[str]]) -> None:
+        self._scans.pop((database, measurement), None)
         table = self.catalog["tables"].setdefault(database, {}).setdefault(measurement, {"tags": [], "fields": {}})
         table["tags"] = sorted({*table["tags"], *tags})
         for name, kinds in fields.items():
@@ -272,11 +279,13 @@ class Warehouse:
                     self.files.rename(f"{new}/day={day}", f"{path}/day={day}")
             self.files.delete(new)
             self.spark.catalog.refreshByPath(path)
+            self._scans.pop((database, measurement), None)
             if not any(x.startswith("day=") for x in self.files.names(path)):
                 self._forget(database, measurement)
             return n
 
     def _forget(self, database: str, measurement: str) -> None:
+        self._scans.pop((database, measurement), None)
         self.catalog["tables"].get(database, {}).pop(measurement, None)
         self._save()
         self.files.delete(self._where(database, measurement))

@@ -161,13 +161,15 @@ def _passages(segments: DataFrame, recurring: DataFrame, window: int) -> DataFra
 
 
 class Automaton:
-    """Aho-Corasick over the word numbers of a shard's passages."""
+    """Aho-Corasick over the word numbers of a shard's passages.
+
+    A pattern is a block of half a window. With it go its surroundings in the passages, half a window on either side: every window
+    that holds the block lies in them. Equal surroundings are kept once, with the smallest document that has them.
+    """
 
     def __init__(self, window: int):
         self.window, self.half = window, window // 2
-        self.words: list[np.ndarray] = []
-        self.first: list[int] = []
-        self._blocks: dict[tuple[int, ...], list[tuple[int, int]]] = {}
+        self._blocks: dict[tuple[int, ...], dict[tuple[int, bytes], int]] = {}
         self._compiled = None
 
     @staticmethod
@@ -175,37 +177,46 @@ class Automaton:
         return tuple((words >> np.uint64(32)).tolist())
 
     def add(self, first: int, words: np.ndarray) -> None:
-        k, numbers = len(self.words), self.numbers(words)
-        self.words.append(words)
-        self.first.append(first)
+        numbers, side = self.numbers(words), self.window - self.half
         for o in range(0, len(words) - self.half + 1, self.half):
-            self._blocks.setdefault(numbers[o : o + self.half], []).append((k, o))
+            around = self._blocks.setdefault(numbers[o : o + self.half], {})
+            left = min(o, side)
+            key = left, words[o - left : o + self.half + side].tobytes()
+            around[key] = min(around.get(key, first), first)
+
+    def _compile(self) -> None:
+        self._compiled = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        for block, around in self._blocks.items():
+            uses = [(first, left, np.frombuffer(held, np.uint64)) for (left, held), first in around.items()]
+            self._compiled.add_word(block, sorted(uses, key=lambda u: (-len(u[2]), u[0])))
+        self._compiled.make_automaton()
+        self._blocks.clear()
 
     def removed(self, doc_id: int, words: np.ndarray) -> np.ndarray:
         """Which words a recurring window covers that starts in a smaller document."""
-        out = np.zeros(len(words), bool)
-        if not self._blocks or len(words) < self.window:
-            return out
-        if self._compiled is None:
-            self._compiled = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-            for block, uses in self._blocks.items():
-                self._compiled.add_word(block, uses)
-            self._compiled.make_automaton()
-        seen: set[tuple[int, int]] = set()
+        n, half, window = len(words), self.half, self.window
+        out = bytearray(n)
+        if self._compiled is None and self._blocks:
+            self._compile()
+        if self._compiled is None or n < window:
+            return np.frombuffer(out, bool)
         for end, uses in self._compiled.iter(self.numbers(words)):
-            for k, o in uses:
-                shift = end - self.half + 1 - o
-                if self.first[k] >= doc_id or (k, shift) in seen:
-                    continue
-                seen.add((k, shift))
-                passage = self.words[k]
-                a, z = max(0, shift), min(len(words), shift + len(passage))
-                if z - a < self.window or out[a:z].all():
+            s = end - half + 1
+            lo, hi = max(0, s - window + half), min(n, s + window)
+            for first, left, around in uses:
+                if first >= doc_id:
                     continue
-                for s, e in runs(words[a:z] == passage[a - shift : z - shift]):
-                    if e - s >= self.window:
-                        out[a + s : a + e] = True
-        return out
+                if 0 not in out[lo:hi]:  # all windows that hold this block are gone
+                    break
+                a, z = max(0, s - left), min(n, s - left + len(around))
+                skip = a - (s - left)
+                unlike = np.flatnonzero(words[a:z] != around[skip : skip + z - a])
+                at = int(np.searchsorted(unlike, s - a))
+                run_from = a + int(unlike[at - 1]) + 1 if at else a
+                run_to = a + int(unlike[at]) if at < len(unlike) else z
+                if run_to - run_from >= window and run_to >= s + half:
+                    out[run_from:run_to] = b"\1" * (run_to - run_from)
+        return np.frombuffer(out, bool)
 
 
 def _located(segments: DataFrame, shared: DataFrame, passages: DataFrame, window: int) -> DataFrame:
@@ -257,7 +268,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.large_string())])
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in common.sliced(batches):
             out = []
             for d, t, own in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
                 words = (t or "").encode("utf-8", "surrogatepass").split()

@@ -207,7 +207,8 @@ def _lp_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("lp_roundtrip", f"SELECT event_id, event_type, user_id::VARCHAR AS user_id, value, props, {iso('ts')} AS time FROM events")
 def _lp_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = line_protocol.staged(_event_lines(spark, sf_dir), "nanosecond").where("error is null and measurement = 'events'")
+    lines = _event_lines(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism)  # parsing costs more than moving lines
+    points = line_protocol.staged(lines, "nanosecond").where("error is null and measurement = 'events'")
     at = lambda m, k: F.try_element_at(m, F.lit(k)).alias(k)
     return points.select(at("i", "event_id"), at("tags", "event_type"), at("tags", "user_id"), at("f", "value"), at("s", "props"), times.iso(F.col("time_ns")).alias("time"))
 

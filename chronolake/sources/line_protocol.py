@@ -47,22 +47,24 @@ def lines_of(text: str) -> list[str]:
     return [x for x in text.split("\n") if x.strip() and not x.startswith("#")]
 
 
+def _marks(mark: str, quotes: bool) -> re.Pattern[str]:
+    """Escaped characters and, if asked for, quoted texts are passed over; group 1 is a mark that counts."""
+    quoted = r'"(?:[^"\\]|\\.)*"|' if quotes else ""
+    return re.compile(rf"\\.|{quoted}({re.escape(mark)})", re.DOTALL)
+
+
+_MARKS = {(mark, quotes): _marks(mark, quotes) for mark in " ,=" for quotes in (False, True)}
+
+
 def _split(text: str, mark: str, quotes: bool = False) -> list[str]:
     """Parts between marks that no backslash precedes and, if asked for, that stand outside double quotes."""
     if "\\" not in text and not (quotes and '"' in text):
         return text.split(mark)
-    parts, start, k, quoted = [], 0, 0, False
-    while k < len(text):
-        c = text[k]
-        if c == "\\":
-            k += 2
-            continue
-        if quotes and c == '"':
-            quoted = not quoted
-        elif c == mark and not quoted:
-            parts.append(text[start:k])
-            start = k + 1
-        k += 1
+    parts, start = [], 0
+    for found in _MARKS[mark, quotes].finditer(text):
+        if found[1]:
+            parts.append(text[start : found.start()])
+            start = found.end()
     parts.append(text[start:])
     return parts
 

@@ -17,6 +17,7 @@ import time
 import uuid
 from urllib.parse import quote
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -157,13 +158,11 @@ class Warehouse:
         now = time.time_ns() if now_ns is None else now_ns
         if len(lines) <= DRIVER_LINES:
             return self._append_rows(database, line_protocol.parse(text, precision), now)
-        rows = self.spark.createDataFrame(list(enumerate(lines)), "seq bigint, value string")
+        rows = self.spark.createDataFrame(pa.table({"seq": pa.array(range(len(lines)), pa.int64()), "value": pa.array(lines, pa.string())}))
         return self.append_frame(database, rows, precision, now)
 
     def _append_rows(self, database: str, rows: list[line_protocol.Row], now: int) -> int:
         """Points that the driver has parsed: an Arrow table and one append per measurement."""
-        import pyarrow as pa
-
         groups: dict[str, list[tuple[int, line_protocol.Row]]] = {}
         for k, row in enumerate(rows):
             groups.setdefault(row.measurement, []).append((k, row))

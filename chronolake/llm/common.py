@@ -45,9 +45,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+_scratched: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder; sweep() removes it."""
+    _scratched.append(f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _scratched[-1]
+
+
+def sweep(spark: SparkSession) -> None:
+    """Deletes what stands under scratch paths of this process: to be called when no result is read any more."""
+    while _scratched:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_scratched.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut(df: DataFrame) -> DataFrame:

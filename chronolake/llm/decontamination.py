@@ -170,7 +170,7 @@ def matches(
     def search(some: list[tuple[int, str]]):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(some, rate, least_chars)
-            for b in batches:
+            for b in common.sliced(batches):
                 out = [(d, *hit) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if t for hit in matcher.find(normal(t))]
                 cols = list(zip(*out)) or [()] * 5
                 names = ["doc_id", "item_id", "distance", "start", "end"]
@@ -191,8 +191,9 @@ def clean(docs: DataFrame, items: DataFrame, rate: float = RATE, least_chars: in
     for some in blocks(items, "item_id", "text", block_chars):
 
         def keep(batches: Iterator[pa.RecordBatch], some: list[tuple[int, str]] = some) -> Iterator[pa.RecordBatch]:
+            common.frugal()
             matcher = Matcher(some, rate, least_chars)
-            for b in batches:
+            for b in common.sliced(batches):
                 texts = b.column(b.schema.get_field_index(text_col)).to_pylist()
                 yield b.filter(pa.array([not t or not matcher.find(normal(t)) for t in texts], pa.bool_()))
 

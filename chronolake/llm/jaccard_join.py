@@ -44,7 +44,7 @@ CELL_BITS, PARTS = 20, 64
 #: A cell is hot when its count is over this and over so many times the mean.
 HOT, HOT_MEANS = 1000, 8
 #: Sets of a group that one task joins at once.
-BLOCK = 3000
+BLOCK = 1000
 #: Positions in a block of an index list.
 POSITIONS = 8
 #: Ids up to which a list of documents is broadcast.
@@ -70,6 +70,7 @@ def _summaries(rows: DataFrame, size: int) -> DataFrame:
     """Rows of two kinds: (doc_id, n, key) of a document, and (part, counts) of the frequency table from a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.frugal()
         counts = np.zeros(1 << CELL_BITS, np.uint32)
         names = ["doc_id", "n", "key", "part", "counts"]
         for b in batches:
@@ -113,6 +114,7 @@ def _prefixes(rows: DataFrame, size: int, percent: int, table) -> DataFrame:
     """token, doc_id, need, hot: the prefixes' shingles. A set that a task has met already is not given twice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.frugal()
         counts = table.value
         limit = max(HOT, int(HOT_MEANS * counts.mean()))
         met: dict[int, int] = {}
@@ -262,7 +264,8 @@ def _links(rows: DataFrame, groups: DataFrame, size: int, percent: int) -> DataF
     chosen = rows.join(common.small(placed, BROADCAST_IDS, groups.count()), "doc_id").select("doc_id", "text", "grp", "blocks")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        common.frugal()
+        for b in common.sliced(batches):
             sets = [textops.signed(s) for _, s in _sets(b.column(1), size)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "grp", "blocks", "tokens"])
 
@@ -274,6 +277,7 @@ def _links(rows: DataFrame, groups: DataFrame, size: int, percent: int) -> DataF
     dealt = dealt.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j", "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.frugal()
         now, ids, sets, out = None, [], [], []
 
         def done() -> None:
@@ -326,3 +330,27 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(common.documents(spark, sf_dir))
+
+
+ORACLE_SQL = rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, '{common.UPPER}', '{common.LOWER}'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents
+), sh AS (
+  SELECT DISTINCT doc_id, array_to_string(w[k + 1 : k + 5], ' ') AS s
+  FROM (SELECT *, unnest(range(CASE WHEN len(w) = 0 THEN 0 ELSE greatest(len(w) - 4, 1) END)) AS k FROM d)
+), sets AS (
+  SELECT d.doc_id, count(s) AS n, string_agg(s, chr(10) ORDER BY s) AS whole FROM d LEFT JOIN sh USING (doc_id) GROUP BY d.doc_id
+), classes AS (
+  SELECT doc_id, n, CASE WHEN n = 0 THEN doc_id ELSE min(doc_id) OVER (PARTITION BY whole) END AS class_id FROM sets
+), pairs AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM sh x JOIN sh y USING (s) WHERE x.doc_id < y.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM pairs JOIN sets x ON x.doc_id = a JOIN sets y ON y.doc_id = b WHERE 100 * i >= 75 * (x.n + y.n - i)
+), both_ways AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach AS (
+  SELECT doc_id, doc_id AS node FROM sets UNION SELECT doc_id, b FROM reach JOIN both_ways ON node = a
+)
+SELECT doc_id, any_value(n)::BIGINT AS n_shingles, any_value(class_id) AS class_id, min(node) AS component_id
+FROM reach JOIN classes USING (doc_id) GROUP BY doc_id
+"""

@@ -10,7 +10,7 @@ import pyarrow as pa
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 #: Bytes of text that are worked on at once; a longer document stands alone.
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1 << 20
 
 _blank = np.zeros(256, bool)
 _blank[[0x20, *range(9, 14)]] = True

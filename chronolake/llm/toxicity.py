@@ -43,7 +43,7 @@ FEATURES = 18
 #: Lengths of the beginnings of words that the learned lexicon may hold next to whole words.
 BEGINNINGS = range(3, 9)
 #: Words whose weight a Lexicon remembers.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 
 
 class Lexicon:

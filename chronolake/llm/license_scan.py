@@ -202,3 +202,48 @@ def license_scan(
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(common.documents(spark, sf_dir))
+
+
+def _oracle() -> str:
+    """DuckDB SQL that holds every block against every notice."""
+    gap = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    cases = []
+    for phrase, label in PHRASES:
+        names = ["word", "w1", "w2", "w3"]
+        same = " AND ".join(f"{n} = '{w}'" for n, w in zip(names, phrase.split()))
+        cases.append(f"WHEN {same} THEN '{label}'")
+    rows = []
+    for n, (text, label) in enumerate(NOTICES):
+        own = sorted(set(text.split()))
+        need = max(1, math.ceil(CONTAINMENT * len(own) - 1e-9))
+        rows.append(f"({n}, '{label}', {own!r}, {len(own)}, {need})")
+    return f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{common.UPPER}', '{common.LOWER}'), '{gap}'), lambda x: x <> '') AS w
+  FROM documents
+), t AS (
+  SELECT r, unnest(w) AS word, unnest(range(len(w))) AS pos FROM d
+), l AS (
+  SELECT r, pos, CASE {' '.join(cases)} END AS label
+  FROM (SELECT *, lead(word, 1) OVER p AS w1, lead(word, 2) OVER p AS w2, lead(word, 3) OVER p AS w3 FROM t WINDOW p AS (PARTITION BY r ORDER BY pos))
+), base AS (
+  SELECT r, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, list_sort(list(DISTINCT label)) AS own FROM l WHERE label IS NOT NULL GROUP BY r
+), notices(n, label, tokens, m, need) AS (VALUES {', '.join(rows)}),
+n AS (SELECT n, label, m, need, unnest(tokens) AS word FROM notices),
+blocks AS (
+  SELECT DISTINCT r, word, pos // {STRIDE} + unnest([0, -1]) AS block FROM t WHERE word IN (SELECT word FROM n)
+), met AS (
+  SELECT r, block, n, label, m, count(*) AS common FROM blocks JOIN n USING (word) GROUP BY r, block, n, label, m, need HAVING count(*) >= need
+), more AS (
+  SELECT r, list(DISTINCT label) AS labels, max(common / m) AS best FROM met GROUP BY r
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word, last_word,
+       coalesce(array_to_string(own, ','), '') AS base_labels,
+       coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(own, []), coalesce(labels, [])))), ','), '') AS labels,
+       CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(best, 0.0::DOUBLE) END AS score
+FROM d LEFT JOIN base USING (r) LEFT JOIN more USING (r)
+"""
+
+
+ORACLE_SQL = _oracle()

@@ -17,6 +17,9 @@ QUERIES = {
     "op10_license_scan": license_scan.op10_license_scan,
 }
 ORACLE_SQL = {
+    "op2_jaccard_join": jaccard_join.ORACLE_SQL,
+    "op3_substring_dedup": substring_dedup.ORACLE_SQL,
     "op4_exact_dedup": exact_dedup.ORACLE_SQL,
     "op8_mix_sources": mixing.ORACLE_SQL,
+    "op10_license_scan": license_scan.ORACLE_SQL,
 }

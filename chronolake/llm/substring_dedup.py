@@ -286,3 +286,22 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(common.documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+ORACLE_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents
+), win AS (
+  SELECT r, doc_id, k, array_to_string(w[k + 1 : k + 50], ' ') AS s FROM (SELECT *, unnest(range(greatest(len(w) - 49, 0))) AS k FROM d)
+), first AS (
+  SELECT s, min(doc_id) AS lo FROM win GROUP BY s HAVING min(doc_id) < max(doc_id)
+), gone AS (
+  SELECT DISTINCT r, k + unnest(range(50)) AS pos FROM win JOIN first USING (s) WHERE lo < doc_id
+), words AS (
+  SELECT r, unnest(w) AS word, unnest(range(len(w))) AS pos FROM d
+), kept AS (
+  SELECT r, string_agg(word, ' ' ORDER BY pos) AS text, count(*) AS n FROM words ANTI JOIN gone USING (r, pos) GROUP BY r
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
+"""

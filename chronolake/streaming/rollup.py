@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from chronolake.sources.files import Files
+
 
 def candles(points: DataFrame, stamp: str, value: str, volume: str, seq: str, size: str, keys: list[str] | None = None, watermark: str | None = None) -> DataFrame:
     """bucket, keys, open, high, low, close, volume; works on a stream (give a watermark) and on a table."""
@@ -60,3 +62,37 @@ def append(rollup: DataFrame, path: str, checkpoint: str, available_now: bool =
     """Appends buckets to Parquet as soon as the watermark has closed them."""
     writer = rollup.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=every)).start()
+
+
+def cascade(
+    points: DataFrame,
+    root: str,
+    sizes: list[str],
+    stamp: str,
+    value: str,
+    volume: str,
+    seq: str,
+    keys: list[str] | None = None,
+    watermark: str = "1 minute",
+    available_now: bool = True,
+) -> list[StreamingQuery]:
+    """Ticks to candles of the first size, those to candles of the next, and so on, each a table under root.
+
+    Every level is a query of its own that reads the table of the level before, so that levels fail and go on apart. With
+    available_now each level runs to its end before the next begins; else all keep running.
+    """
+    spark, out = points.sparkSession, []
+    for level, size in enumerate(sizes):
+        path, name = f"{root}/{size.replace(' ', '_')}", f"{root}/checkpoints/{level}"
+        if level == 0:
+            frame = candles(points, stamp, value, volume, seq, size, keys, watermark)
+            schema = frame.schema
+        else:
+            source = spark.readStream.schema(schema).parquet(f"{root}/{sizes[level - 1].replace(' ', '_')}")
+            frame = larger(source, size, keys, watermark)
+        out.append(append(frame, path, name, available_now))
+        if available_now:
+            out[-1].awaitTermination()
+        else:
+            Files(spark, root).make(path)  # the next level needs a folder to watch
+    return out

@@ -13,7 +13,7 @@ for themselves. Payloads stand in Parquet, one row each, so that only tasks that
 
 The tokenizer is the tokenizers library with a vocabulary file that is given by path. Most text is words parted by single
 spaces: pre-tokenisation cuts there in any case, so that each word with the space before it is encoded once by the library and
-its ids are remembered. Lines with any other white space go to the library as a whole.
+its ids are remembered. Texts with any other white space go to the library as a whole.
 
 Cases: null and empty texts have only the end id; texts of any length are encoded whole; null ids come first; rows that repeat
 an id follow each other in the order of the text's hash; an empty table gives no rows. Other columns are ignored.
@@ -21,65 +21,149 @@ an id follow each other in the order of the text's hash; an empty table gives no
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chronolake.llm import common
+from chronolake.llm import common, textops
 
 MAGIC = b"RPR1"
-SHARD_IDS = 1 << 20
+SHARD_IDS = 1 << 19
 END_ID = 2
 #: Rounds of replacement, rules a round, and occurrences that a rule needs.
-ROUNDS, RULES, LEAST = 5, 2048, 64
+ROUNDS, RULES, LEAST = 4, 4096, 64
 #: Words whose ids an encoder remembers.
-REMEMBERED = 300_000
+REMEMBERED = 1_000_000
 #: Hash table in which neighbouring pairs are counted first; only pairs in full cells are then counted exactly.
 CELLS = 1 << 20
 
 
+_first_of_space = np.zeros(256, bool)
+_first_of_space[[*range(0x1C, 0x20), 0xC2, 0xE1, 0xE2, 0xE3]] = True
+
+
+def odd_places(data: np.ndarray) -> np.ndarray:
+    """Where bytes may begin a white-space character other than those that part words here."""
+    at = np.flatnonzero(_first_of_space[data])
+    if not len(at):
+        return at
+    more = np.concatenate([data, np.zeros(2, np.uint8)])
+    a, b, c = more[at], more[at + 1], more[at + 2]
+    odd = (a < 0x80) | (a == 0xC2) & ((b == 0x85) | (b == 0xA0)) | (a == 0xE1) & ((b == 0x9A) | (b == 0xA0)) | (a == 0xE3) & (b == 0x80) & (c == 0x80)
+    odd |= (a == 0xE2) & ((b == 0x81) & (c == 0x9F) | (b == 0x80) & ((c <= 0x8A) | (c >= 0xA8) & (c <= 0xAF)))
+    return at[odd]
+
+
 class Encoder:
-    def __init__(self, path: str):
+    """Ids of many texts at once. A word, with what stands before it, is encoded by the library the first time it is met.
+
+    Words are told apart by 64-bit hashes. What is known stands in one array of ids, with a start and a size for each word.
+    """
+
+    def __init__(self, path: str, end_id: int):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism; threads of the library would each hold caches
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.end_id = Tokenizer.from_file(path), end_id
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, np.ndarray] = {}
-
-    def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        known, plans, missing = self.known, [], {}
-        if len(known) > REMEMBERED:
-            known.clear()
-        for text in texts:
-            parts: list[str] | None = []
-            for k, line in enumerate(text.split("\n")):
-                words = line.split(" ")
-                if words != line.split():  # empty lines, other white space, or more than one space
-                    parts = None
-                    break
-                if k:
-                    parts.append("\n")
-                parts.append(words[0])
-                parts += [" " + w for w in words[1:]]
-            if parts is None:
-                parts = [text]
-            plans.append(parts)
-            for p in parts:
-                if p not in known:
-                    missing[p] = None
-        names = list(missing)
-        for name, ids in zip(names, self._encode(names)):
-            known[name] = ids
-        return [np.concatenate([known[p] for p in parts]) if parts else np.zeros(0, np.uint32) for parts in plans]
+        (self.break_id,) = self._library("\n").tolist()
+        self._forget()
+
+    def _library(self, text: str) -> np.ndarray:
+        # encode_batch_fast leaves out character offsets; the ids are those of encode_batch.
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+
+    def _forget(self) -> None:
+        self.rows: dict[int, int] = {}
+        self.n_rows, self.n_ids = 0, 0
+        self.start, self.size, self.ids = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 20, np.uint32)
+        self._add(np.array([self.end_id], np.uint32), np.zeros(1, np.int64), np.ones(1, np.int64))
+
+    def _add(self, ids: np.ndarray, start: np.ndarray, size: np.ndarray) -> int:
+        """Keeps ids and the parts of them that start and size tell; returns the first part's row."""
+        row, n, m = self.n_rows, len(start), len(ids)
+        while row + n > len(self.start):
+            self.start, self.size = np.concatenate([self.start, self.start]), np.concatenate([self.size, self.size])
+        while self.n_ids + m > len(self.ids):
+            self.ids = np.concatenate([self.ids, self.ids])
+        self.ids[self.n_ids : self.n_ids + m] = ids
+        self.start[row : row + n], self.size[row : row + n] = start + self.n_ids, size
+        self.n_rows, self.n_ids = row + n, self.n_ids + m
+        return row
+
+    def _learn(self, words: list[bytes], kind: np.ndarray) -> int:
+        """Rows of words before which stand nothing (kind 0), a space (1) or a line break (2).
+
+        A line break is an id of its own between words. So all are encoded as one text, a line break before each, and taken apart there.
+        """
+        text = b"\n" + b"\n".join([b" " + w if k == 1 else w for w, k in zip(words, kind.tolist())])
+        ids = self._library(text.decode())
+        breaks = np.flatnonzero(ids == self.break_id)
+        if len(breaks) != len(words):
+            raise ValueError("the tokenizer does not part lines")
+        start = breaks + (kind != 2)
+        return self._add(ids, start, np.append(breaks[1:], len(ids)) - start)
+
+    def encode(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(ids of some texts, each with the end id, and how many each has), until all texts are through."""
+        for at, to, w in textops.steps(texts, step=2 << 20):
+            if self.n_rows > REMEMBERED:
+                self._forget()
+            n, offsets, first = to - at, w.offsets, w.first
+            before = np.concatenate([[0], w.ends[:-1]]) if len(w.ends) else w.ends
+            opening = first[:-1][first[:-1] < first[1:]]
+            before[opening] = offsets[:-1][first[:-1] < first[1:]]
+            gap = w.starts - before
+            mark = w.data[np.maximum(w.starts - 1, 0)]
+            kind = np.where(gap == 0, 0, np.where(mark == 0x20, 1, 2))
+            right = (gap == 1) & ((mark == 0x20) | (mark == 0x0A))
+            right[opening] = gap[opening] == 0
+            owner = np.repeat(np.arange(n), np.diff(first))
+            plain = np.ones(n, bool)
+            plain[owner[~right]] = False
+            plain[np.searchsorted(offsets, odd_places(w.data), "right") - 1] = False
+            last = np.zeros(n, np.int64)
+            some = first[1:] > first[:-1]
+            last[some] = w.ends[first[1:][some] - 1]
+            plain &= np.where(some, last, offsets[:-1]) == offsets[1:]
+            used = np.flatnonzero(plain[owner])
+            key = textops.mix(w.hashes[used] ^ (kind[used].astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)))
+            distinct, where, inverse = np.unique(key, return_index=True, return_inverse=True)
+            names = distinct.tolist()
+            rows = np.array([self.rows.get(k, -1) for k in names], np.int64)
+            if len(new := np.flatnonzero(rows < 0)):
+                own = used[where[new]]
+                data = w.data.tobytes()
+                row = self._learn([data[a:z] for a, z in zip(w.starts[own].tolist(), w.ends[own].tolist())], kind[own])
+                rows[new] = np.arange(row, row + len(new))
+                self.rows.update(zip(distinct[new].tolist(), range(row, row + len(new))))
+            # The texts' items: their words, or one item that holds a whole text, and the end.
+            items, spot = rows[inverse], np.searchsorted(used, first[1:])
+            for k in np.flatnonzero(~plain)[::-1].tolist():
+                ids = self._library(w.text(k).decode())
+                items = np.insert(items, spot[k], self._add(ids, np.zeros(1, np.int64), np.array([len(ids)])))
+            spot = spot + (~plain).cumsum()
+            items = np.insert(items, spot, 0)
+            size = self.size[items]
+            reach = size.cumsum()
+            flat = self.ids[np.arange(int(reach[-1])) + np.repeat(self.start[items] - (reach - size), size)]
+            yield flat, np.diff(reach[spot + np.arange(n)], prepend=0)
+
+
+_encoders: dict[tuple[str, int], Encoder] = {}
+
+
+def encoder_of(path: str, end_id: int) -> Encoder:
+    """One encoder in a worker process: what it remembers serves the tasks that come later."""
+    if (path, end_id) not in _encoders:
+        _encoders[path, end_id] = Encoder(path, end_id)
+    return _encoders[path, end_id]
 
 
 def repair(ids: np.ndarray, rounds: int = ROUNDS, rules_a_round: int = RULES, least: int = LEAST) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
@@ -91,23 +175,22 @@ def repair(ids: np.ndarray, rounds: int = ROUNDS, rules_a_round: int = RULES, le
     for _ in range(rounds):
         if len(seq) < 2:
             break
-        pair = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
-        cell = ((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
-        full = np.bincount(cell, minlength=CELLS) >= least
-        if not full.any():
-            break
-        some, counts = np.unique(pair[full[cell]], return_counts=True)
+        cell = (seq[:-1] * np.uint32(0x9E3779B1) + seq[1:] * np.uint32(0x85EBCA77)) >> np.uint32(12)
+        load = np.bincount(cell, minlength=CELLS)
+        full = load[load >= least]
+        enough = np.partition(full, -rules_a_round)[-rules_a_round] if len(full) > rules_a_round else least
+        at = np.flatnonzero((load >= enough)[cell])
+        pair = seq[at].astype(np.uint64) << np.uint64(32) | seq[at + 1]
+        some, rank, counts = np.unique(pair, return_inverse=True, return_counts=True)
         best = np.argsort(-counts, kind="stable")[:rules_a_round]
         best = best[counts[best] >= least]
         if not len(best):
             break
         chosen = np.sort(some[best])
-        # Which positions begin a chosen pair; cells of chosen pairs are a cheap first test.
-        hot = np.zeros(CELLS, bool)
-        hot[((chosen * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)] = True
-        at = np.flatnonzero(hot[cell])
-        rank = np.searchsorted(chosen, pair[at])
-        right = chosen[np.minimum(rank, len(chosen) - 1)] == pair[at]
+        new_rank = np.full(len(some), -1, np.int64)
+        new_rank[np.sort(best)] = np.arange(len(best))
+        rank = new_rank[rank]
+        right = rank >= 0
         at, rank = at[right], rank[right]
         # Neighbouring positions overlap: of each run, every other one is taken, from the left.
         fresh = np.r_[True, np.diff(at) > 1] if len(at) else np.zeros(0, bool)
@@ -140,7 +223,7 @@ class Shard:
     """A shard file's content, with random access by position of an id."""
 
     def __init__(self, payload: bytes):
-        if payload[:4] != MAGIC:
+        if bytes(memoryview(payload)[:4]) != MAGIC:
             raise ValueError("not a shard of token ids")
         docs, rules, symbols, self.first, self.n_ids = struct.unpack_from("<IIIIQ", payload, 4)
         at = 4 + struct.calcsize("<IIIIQ")
@@ -156,6 +239,7 @@ class Shard:
         self.ends = take("<u8", docs).astype(np.int64)
         self.rules, self.lengths, self.seq = take("<u4", 2 * rules).reshape(-1, 2), take("<u4", rules), take("<u4", symbols)
         self._reach: np.ndarray | None = None
+        self._expansions: np.ndarray | None = None
 
     def _sizes(self, symbols: np.ndarray) -> np.ndarray:
         out = np.ones(len(symbols), np.int64)
@@ -173,6 +257,16 @@ class Shard:
             symbols = out
         return symbols
 
+    def _flat(self, symbols: np.ndarray) -> np.ndarray:
+        """Like _expand(), by copying from the expansions of all symbols."""
+        if self._expansions is None:
+            made = self._expand(np.arange(self.first, self.first + len(self.rules), dtype=np.uint32))
+            self._expansions = np.concatenate([np.arange(self.first, dtype=np.uint32), made])
+            self._begin = np.concatenate([np.arange(self.first), self.first + self.lengths.astype(np.int64).cumsum() - self.lengths])
+        sizes = self._sizes(symbols)
+        shift = self._begin[symbols] - (sizes.cumsum() - sizes)
+        return self._expansions[np.arange(int(sizes.sum())) + np.repeat(shift, sizes)]
+
     def ids(self, start: int = 0, end: int | None = None) -> np.ndarray:
         """Ids from start to end, expanding only the symbols that cover them."""
         end = self.n_ids if end is None else min(end, self.n_ids)
@@ -182,7 +276,8 @@ class Shard:
             self._reach = self._sizes(self.seq).cumsum()
         a, b = np.searchsorted(self._reach, start, "right"), np.searchsorted(self._reach, end - 1, "right") + 1
         skipped = int(self._reach[a - 1]) if a else 0
-        return self._expand(self.seq[a:b])[start - skipped : end - skipped]
+        expand = self._flat if end - start > len(self.rules) else self._expand
+        return expand(self.seq[a:b])[start - skipped : end - skipped]
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, shard_ids: int = SHARD_IDS, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> str:
@@ -193,32 +288,39 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, shar
     dealt = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        common.frugal()
+        encoder = encoder_of(tokenizer, end_id)
         held: list[np.ndarray] = []
+        sizes: list[int] = []
         names: list[int | None] = []
         nth = total = part = 0
 
         def shard() -> pa.RecordBatch:
             nonlocal nth, total
-            ids, ends = np.concatenate(held), np.cumsum([len(x) for x in held])
+            ids, ends = np.concatenate(held), np.cumsum(sizes)
             out = pa.RecordBatch.from_pydict(
                 {"part": pa.array([part], pa.int32()), "nth": pa.array([nth], pa.int32()), "n_ids": [len(ids)], "payload": pa.array([pack(names, ends, ids)], pa.binary())}
             )
-            held.clear()
-            names.clear()
+            held.clear(), names.clear(), sizes.clear()
             nth, total = nth + 1, 0
             return out
 
         for b in batches:
-            for lo in range(0, len(b), 256):
-                some = b.slice(lo, 256)
-                part = some.column(2)[0].as_py()
-                for name, ids in zip(some.column(0).to_pylist(), encoder.encode(some.column(1).to_pylist())):
-                    names.append(name)
-                    held.append(np.append(ids, np.uint32(end_id)))
-                    total += len(ids) + 1
+            if not len(b):
+                continue
+            part, own, at = b.column(2)[0].as_py(), b.column(0).to_pylist(), 0
+            for flat, lengths in encoder.encode(b.column(1)):
+                begin = done = 0
+                for n in lengths.tolist():
+                    names.append(own[at])
+                    sizes.append(n)
+                    at, done, total = at + 1, done + n, total + n
                     if total >= shard_ids:
+                        held.append(flat[begin:done])
+                        begin = done
                         yield shard()
+                if done > begin:
+                    held.append(flat[begin:done])
         if held:
             yield shard()
 
@@ -239,24 +341,21 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     bases = sums.select("part", ahead.alias("base"))
     starts = common.cut(files.select("part", "nth", within.alias("within")).join(bases, "part").select("part", "nth", (F.col("base") + F.col("within")).alias("base")))
 
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part, nth, payload in zip(b["part"], b["nth"], b["payload"]):
-                shard = Shard(payload)
-                ids = shard.ids().astype("<u4")
+            for k in range(len(b)):
+                shard = Shard(b.column(2)[k].as_buffer())
+                ids = shard.ids().astype("<u4", copy=False)
                 cuts = np.r_[0, shard.ends]
-                yield pd.DataFrame(
-                    {
-                        "part": part,
-                        "nth": nth,
-                        "doc_id": pd.array(shard.doc_ids, "Int64"),
-                        "at": cuts[:-1],
-                        "n_tokens": np.diff(cuts),
-                        "ids_crc32": [zlib.crc32(ids[a:z].tobytes()) for a, z in zip(cuts[:-1], cuts[1:])],
-                    }
+                sums = [zlib.crc32(ids[a:z]) for a, z in zip(cuts[:-1], cuts[1:])]
+                n = len(sums)
+                same = [pa.array(np.full(n, b.column(c)[k].as_py(), np.int32)) for c in (0, 1)]
+                yield pa.RecordBatch.from_arrays(
+                    [*same, pa.array(shard.doc_ids, pa.int64()), pa.array(cuts[:-1]), pa.array(np.diff(cuts)), pa.array(sums, pa.int64())],
+                    names=["part", "nth", "doc_id", "at", "n_tokens", "ids_crc32"],
                 )
 
-    docs = files.select("part", "nth", "payload").mapInPandas(decode, "part int, nth int, doc_id long, at long, n_tokens long, ids_crc32 long")
+    docs = files.select("part", "nth", "payload").mapInArrow(decode, "part int, nth int, doc_id long, at long, n_tokens long, ids_crc32 long")
     return docs.join(common.small(starts, 200_000), ["part", "nth"]).select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 

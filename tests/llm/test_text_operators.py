@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -225,13 +226,16 @@ def test_token_files_round_trip(spark, root, awkward, nothing):
 
 def test_encoder_equals_the_library():
     path, plain = tokenizer()
-    encoder = token_files.Encoder(path)
-    texts = ["", " ", "\n", "a\n\nb", "a \nb", "a  b", "\ta", " a b ", "a\x85b c", "a b", "x　 y", "don't\nwon't", "a\rb", "a\x1cb c", "​ a", "<|endoftext|> x", "a\0b c", "it's 12,5% – ok\nnext line"]
+    encoder = token_files.Encoder(path, 2)
+    texts = ["", " ", "\n", "a\n\nb", "a \nb", "a  b", "\ta", " a b ", "a\x85b c", "a b", "x　 y", "don't\nwon't", "a\rb", "a\x1cb c", "​ a", "<|endoftext|> x", "a\0b c", "it's 12,5% – ok\nnext line", "", "plain words"]
     rng = random.Random(1)
     texts += ["".join(rng.choice(" \n\taé1'.　") for _ in range(rng.randint(0, 30))) for _ in range(400)]
+    texts += [rng.choice(" \n").join(rng.choice(["a", "é1", "don't", "1.5", "–", "x\u200b"]) for _ in range(rng.randint(0, 12))) for _ in range(400)]
+    want = [plain.encode(t, add_special_tokens=False).ids + [2] for t in texts]
     for _ in range(2):  # the second time from memory
-        for t, ids in zip(texts, encoder.encode(texts)):
-            assert np.frombuffer(ids, np.uint32).tolist() == plain.encode(t, add_special_tokens=False).ids, repr(t)
+        flat, lengths = zip(*encoder.encode(pa.array(texts)))
+        assert np.concatenate(lengths).tolist() == [len(x) for x in want]
+        assert np.concatenate(flat).tolist() == [i for x in want for i in x]
 
 
 @pytest.mark.parametrize("n", [0, 1, 2, 3, 1001, 60_000])

@@ -224,7 +224,10 @@ def test_token_files_round_trip(spark, root, awkward, nothing):
     assert token_files.read(spark, f"{root}/n").count() == 0
 
 
-def test_encoder_equals_the_library():
+@pytest.mark.parametrize("remembered", [1_000_000, 40])
+def test_encoder_equals_the_library(monkeypatch, remembered):
+    monkeypatch.setattr(token_files, "REMEMBERED", remembered)
+    monkeypatch.setattr(token_files.textops, "steps", lambda texts, step, all_steps=token_files.textops.steps: all_steps(texts, step=200 if remembered < 100 else step))
     path, plain = tokenizer()
     encoder = token_files.Encoder(path, 2)
     texts = ["", " ", "\n", "a\n\nb", "a \nb", "a  b", "\ta", " a b ", "a\x85b c", "a b", "x　 y", "don't\nwon't", "a\rb", "a\x1cb c", "​ a", "<|endoftext|> x", "a\0b c", "it's 12,5% – ok\nnext line", "", "plain words"]

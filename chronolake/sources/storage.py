@@ -15,6 +15,7 @@ import secrets
 import threading
 import time
 import uuid
+import zlib
 from urllib.parse import quote
 
 import pyarrow as pa
@@ -39,6 +40,12 @@ def folder(name: str) -> str:
     return quote(name, safe="-") or "%"
 
 
+def column(kind: str, name: str) -> str:
+    """The table's column of a tag (kind t) or field. Spark takes names without regard to case, so that capitals are told apart by a checksum."""
+    lower = name.lower()
+    return f"{kind}:{name}" if name == lower else f"{kind}:{lower}#{zlib.crc32(name.encode()):08x}"
+
+
 class Warehouse:
     def __init__(self, spark: SparkSession, root: str, databases: list[str] | None = None):
         self.spark, self.root = spark, root.rstrip("/")
@@ -121,8 +128,8 @@ class Warehouse:
         return sorted(self.tables(database).get(measurement, {}).get("tags", []))
 
     def schema(self, table: dict) -> T.StructType:
-        cols = [(f"t:{t}", "string") for t in table["tags"]]
-        cols += [(f"{k}:{name}", TYPES[k]) for name, kinds in table["fields"].items() for k in kinds]
+        cols = [(column("t", t), "string") for t in table["tags"]]
+        cols += [(column(k, name), TYPES[k]) for name, kinds in table["fields"].items() for k in kinds]
         out = T.StructType()
         for name, kind in [("time_ns", "bigint"), ("_seq", "bigint"), *cols, ("day", "date")]:
             out = out.add(name, "long" if kind == "bigint" else kind)
@@ -135,8 +142,8 @@ class Warehouse:
         if (database, measurement) in self._scans:
             return self._scans[database, measurement]
         df = self.spark.read.schema(self.schema(table)).parquet(self._where(database, measurement))
-        fields = {name: {k: f"{k}:{name}" for k in kinds} for name, kinds in table["fields"].items()}
-        found = Measurement(measurement, df, {t: f"t:{t}" for t in table["tags"]}, fields, day="day")
+        fields = {name: {k: column(k, name) for k in kinds} for name, kinds in table["fields"].items()}
+        found = Measurement(measurement, df, {t: column("t", t) for t in table["tags"]}, fields, day="day")
         self._scans[database, measurement] = found
         return found
 
@@ -177,7 +184,7 @@ class Warehouse:
             stamps = [now if r.time_ns is None else r.time_ns for _, r in own]
             cols = {"time_ns": pa.array(stamps, pa.int64()), "k": pa.array([k for k, _ in own], pa.int64())}
             for t in tags:
-                cols[f"t:{t}"] = pa.array([r.tags.get(t) for _, r in own], pa.string())
+                cols[column("t", t)] = pa.array([r.tags.get(t) for _, r in own], pa.string())
             for key, found in kinds.items():
                 for kind in sorted(found):
                     values = [v if (v := r.fields.get(key)) is not None and line_protocol.kind_of(v) == kind else None for _, r in own]
@@ -185,7 +192,7 @@ class Warehouse:
                         from decimal import Decimal
 
                         values = [None if v is None else Decimal(v) for v in values]
-                    cols[f"{kind}:{key}"] = pa.array(values, arrow[kind])
+                    cols[column(kind, key)] = pa.array(values, arrow[kind])
             made.append((name, tags, {f: sorted(k) for f, k in kinds.items()}, pa.table(cols)))
         with self.lock:
             base = self._seq(len(rows))
@@ -222,8 +229,8 @@ class Warehouse:
                         if k[0] != "t":
                             fields.setdefault(k[1:], []).append(k[0])
                     cols = [F.coalesce("time_ns", F.lit(now)).alias("time_ns"), (F.col("seq") + base).alias("_seq")]
-                    cols += [F.try_element_at("tags", F.lit(t)).alias(f"t:{t}") for t in tags]
-                    cols += [F.try_element_at(k, F.lit(f)).alias(f"{k}:{f}") for f, kinds in fields.items() for k in kinds]
+                    cols += [F.try_element_at("tags", F.lit(t)).alias(column("t", t)) for t in tags]
+                    cols += [F.try_element_at(k, F.lit(f)).alias(column(k, f)) for f, kinds in fields.items() for k in kinds]
                     self._append(database, name, staged.where(F.col("measurement") == name).select(*cols))
                     self._grow(database, name, tags, fields)
                 self._save()
@@ -243,8 +250,8 @@ class Warehouse:
             own = df.select(
                 "time_ns",
                 (F.monotonically_increasing_id() + base).alias("_seq"),
-                *[F.col(ident(t)).cast("string").alias(f"t:{t}") for t in tags],
-                *[F.col(ident(f)).cast(TYPES[k]).alias(f"{k}:{f}") for f, k in fields.items()],
+                *[F.col(ident(t)).cast("string").alias(column("t", t)) for t in tags],
+                *[F.col(ident(f)).cast(TYPES[k]).alias(column(k, f)) for f, k in fields.items()],
             )
             self._append(database, measurement, own)
             self._grow(database, measurement, tags, {f: [k] for f, k in fields.items()})

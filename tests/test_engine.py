@@ -71,6 +71,13 @@ def test_tasks_parse_like_the_driver(engine, spark, root, monkeypatch):
     assert engine.query_sql("SELECT * FROM m1 ORDER BY time ASC", database="four") == engine.query_sql("SELECT * FROM m1 ORDER BY time ASC", database="one")
 
 
+def test_names_differ_by_case(engine):
+    engine.write("m,Host=A,host=b V=1i,v=2.5 1\nm,HOST=c v=3.5 2")
+    assert engine.query_sql("SELECT * FROM m ORDER BY time ASC")[0] == {"Host": "A", "host": "b", "V": 1, "v": 2.5, "time": "1970-01-01T00:00:00.000000001"}
+    assert [r["v"] for r in engine.query_sql("SELECT * FROM m WHERE HOST = 'c'")] == [3.5]
+    assert engine.warehouse.tag_keys("default", "m") == ["HOST", "Host", "host"]
+
+
 def test_insert_rollup(engine):
     engine.write("\n".join(f"raw,host=h{i % 2} v={i}i {i * 600_000_000_000}" for i in range(24)))
     n = engine.execute_sql("INSERT INTO hourly SELECT DATE_BIN(INTERVAL '1 hour', time) AS time, host, AVG(v) AS mean FROM raw GROUP BY DATE_BIN(INTERVAL '1 hour', time), host")

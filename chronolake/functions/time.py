@@ -37,6 +37,21 @@ def duration_ns(text: str) -> int:
     return int(found[1]) * SHORT[found[2]]
 
 
+def any_interval_ns(text: str) -> int:
+    """Nanoseconds of 'N unit' or of a short duration such as 5m."""
+    if re.fullmatch(r"\d+(ns|us|ms|[usmhdw])", text.strip()):
+        if not (found := duration_ns(text)):
+            raise BadRequest(f"invalid interval: {text}")
+        return found
+    return interval_ns(text)
+
+
+def datetime_ns(moment: datetime) -> int:
+    """Nanoseconds of a datetime; without a zone it is UTC."""
+    since = (moment if moment.tzinfo else moment.replace(tzinfo=UTC)) - datetime(1970, 1, 1, tzinfo=UTC)
+    return ((since.days * 86400 + since.seconds) * 10**6 + since.microseconds) * 1000
+
+
 def bucket(time_ns: Column, size_ns: int) -> Column:
     """Start of the bucket; like integer division, it truncates towards the epoch."""
     size = F.lit(size_ns).cast("bigint")
@@ -69,8 +84,7 @@ def parse_iso(text: str) -> int | None:
         moment = datetime.fromisoformat(f"{date}T{clock or '00:00:00'}{zone}")
     except ValueError:
         return None
-    since = moment - datetime(1970, 1, 1, tzinfo=UTC)
-    return (since.days * 86400 + since.seconds) * 10**9 + int((fraction or "0").ljust(9, "0"))
+    return datetime_ns(moment) + int((fraction or "0").ljust(9, "0"))
 
 
 def ns_of(stamp: Column) -> Column:

@@ -6,6 +6,7 @@ import math
 import time
 from collections.abc import Callable
 from dataclasses import dataclass
+from datetime import datetime
 from functools import reduce
 from typing import Any
 
@@ -91,6 +92,8 @@ class Compiler:
             base = self.time_value(tree.left)
             return None if base is None else base + (tree.right.ns if tree.op == "+" else -tree.right.ns)
         if isinstance(tree, sql.Literal):
+            if isinstance(tree.value, datetime):
+                return times.datetime_ns(tree.value)
             if isinstance(tree.value, int) and not isinstance(tree.value, bool):
                 return tree.value
             if isinstance(tree.value, str):
@@ -168,7 +171,7 @@ class Compiler:
             raise BadRequest("invalid DATE_BIN")
         size, column = call.args
         if isinstance(size, sql.Literal) and isinstance(size.value, str):
-            size = sql.Interval(times.interval_ns(size.value))
+            size = sql.Interval(times.any_interval_ns(size.value))
         if not isinstance(size, sql.Interval) or not isinstance(column, sql.Name) or column.name.lower() != "time":
             raise BadRequest("invalid DATE_BIN")
         return size.ns

@@ -6,7 +6,7 @@ import gzip
 import math
 import re
 from collections.abc import Iterator
-from datetime import UTC, datetime
+from datetime import datetime
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronolake.errors import BadRequest, EncodeError
+from chronolake.functions.time import datetime_ns
 from chronolake.model import Point, Value
 
 PRECISIONS = {"nanosecond": 1, "microsecond": 10**3, "millisecond": 10**6, "second": 10**9}
@@ -250,8 +251,7 @@ def encode(points: Point | list[Point]) -> str:
     if stamp is None:
         return f"{head} {body}"
     if isinstance(stamp, datetime):
-        since = (stamp if stamp.tzinfo else stamp.replace(tzinfo=UTC)) - datetime(1970, 1, 1, tzinfo=UTC)
-        stamp = ((since.days * 86400 + since.seconds) * 10**6 + since.microseconds) * 1000
+        stamp = datetime_ns(stamp)
     if isinstance(stamp, bool) or not isinstance(stamp, int):
         raise EncodeError("invalid_timestamp", stamp)
     return f"{head} {body} {stamp}"

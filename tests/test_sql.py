@@ -212,3 +212,29 @@ def test_tag_hides_field_of_same_name(engine):
     assert [r["k"] for r in rows] == ["tag", "6"]
     assert len(engine.query_sql("SELECT * FROM s WHERE k = 'tag'")) == 1
     assert len(engine.query_sql("SELECT * FROM s WHERE k > 5")) == 2  # a string comes after any number
+
+
+def test_everyday_queries(engine):
+    """The kinds of query that an application of such a store runs all day."""
+    from datetime import UTC, datetime, timedelta
+
+    start = datetime(2024, 1, 1, tzinfo=UTC)
+    lines = []
+    for k in range(30):
+        ns = times.datetime_ns(start + timedelta(minutes=k))
+        lines.append(f"candles,symbol=X,timeframe=1m open={k}.0,high={k + 2}.0,low={k - 1}.0,close={k + 1}.0,volume={10**24 + k}i {ns}")
+        lines.append(f"prices,symbol=X price={k}.5 {ns}")
+    engine.write("\n".join(lines))
+    run = engine.query_sql
+    latest = run("SELECT * FROM candles WHERE symbol=$s AND timeframe=$tf ORDER BY time DESC LIMIT $n", {"s": "X", "tf": "1m", "n": 3})
+    assert [r["open"] for r in latest] == [29, 28, 27] and latest[0]["volume"] == 10**24 + 29
+    span = {"s": "X", "tf": "1m", "start": start + timedelta(minutes=5), "end": (start + timedelta(minutes=9)).isoformat()}
+    assert len(run("SELECT * FROM candles WHERE symbol=$s AND timeframe=$tf AND time >= $start AND time <= $end", span)) == 5
+    assert run("SELECT * FROM prices WHERE symbol=$s ORDER BY time DESC LIMIT 1", {"s": "X"})[0]["price"] == 29.5
+    rows = run("SELECT date_bin('5 minutes', time) AS bucket, avg(price) FROM prices WHERE symbol=$s GROUP BY bucket ORDER BY bucket", {"s": "X"})
+    assert [(r["bucket"], r["avg"]) for r in rows][:2] == [("2024-01-01T00:00:00", 2.5), ("2024-01-01T00:05:00", 7.5)]
+    n = engine.execute_sql("INSERT INTO candles5 SELECT date_bin('5m', time) AS time, symbol, first(open, time) AS open, max(high) AS high, min(low) AS low, last(close, time) AS close FROM candles WHERE timeframe='1m' GROUP BY date_bin('5m', time), symbol")
+    assert n == {"rows_affected": 6}
+    assert run("SELECT open, high, low, close FROM candles5 ORDER BY time ASC LIMIT 1") == [{"open": 0.0, "high": 6.0, "low": -1.0, "close": 5.0}]
+    assert engine.execute_sql("DELETE FROM candles WHERE timeframe='1m' AND time < $cutoff", {"cutoff": start + timedelta(minutes=10)}) == {"rows_affected": 10}
+    assert run("SELECT COUNT(*) AS n FROM candles") == [{"n": 20}]

@@ -33,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronolake.llm import common, graph, textops
@@ -155,21 +155,24 @@ def _prefixes(rows: DataFrame, size: int, percent: int, table) -> DataFrame:
     return rows.mapInArrow(run, "token long, doc_id long, need int, hot boolean")
 
 
+def _enough(rows: DataFrame) -> DataFrame:
+    """doc_id of the sets with as many common prefix shingles as a link needs."""
+    return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("have"), F.min("need").alias("least")).where("have >= least").select("doc_id")
+
+
 def _groups(prefixes: DataFrame, classes: DataFrame) -> DataFrame:
     """class and grp of all sets that may link with another."""
-    from pyspark.sql import Window
-
     own = Window.partitionBy("token")
     cold = prefixes.where("not hot").select("token", "doc_id", "need", F.min("doc_id").over(own).alias("lo"), F.max("doc_id").over(own).alias("hi"))
     met = common.store(
         cold.where("lo <> hi").select("token", "doc_id", "need").unionByName(prefixes.where("hot").select("token", "doc_id", "need")), "jaccard-met"
     )
+    # Most sets are settled here, so that what follows moves little.
+    live = met.join(common.small(common.cut(_enough(met)), BROADCAST_IDS), "doc_id", "left_semi")
     multiple = classes.where("doc_id <> class")
-    to_class = F.coalesce("class", "doc_id")
-    live = met.join(multiple, "doc_id", "left").select("token", to_class.alias("doc_id"), "need").distinct()
+    live = live.join(multiple, "doc_id", "left").select("token", F.coalesce("class", "doc_id").alias("doc_id"), "need").distinct()
     for _ in range(2):
-        enough = live.groupBy("doc_id").agg(F.count(F.lit(1)).alias("have"), F.min("need").alias("least")).where("have >= least").select("doc_id")
-        live = live.join(enough, "doc_id", "left_semi")
+        live = live.join(_enough(live), "doc_id", "left_semi")
         pivots = live.groupBy("token").agg(F.min("doc_id").alias("v"), F.max("doc_id").alias("most")).where("v < most").select("token", "v")
         live = common.cut(live.join(pivots, "token").select("token", "doc_id", "need", "v"))
         edges = live.select(F.col("doc_id").alias("u"), "v").where("u <> v").distinct()

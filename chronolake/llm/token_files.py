@@ -39,7 +39,7 @@ END_ID = 2
 #: Rounds of replacement, rules a round, and occurrences that a rule needs.
 ROUNDS, RULES, LEAST = 4, 4096, 64
 #: Words whose ids an encoder remembers.
-REMEMBERED = 1_000_000
+REMEMBERED = 1_600_000
 #: Hash table in which neighbouring pairs are counted first; only pairs in full cells are then counted exactly.
 CELLS = 1 << 20
 
@@ -73,27 +73,40 @@ class Encoder:
         self.tokenizer, self.end_id = Tokenizer.from_file(path), end_id
         self.tokenizer.encode_special_tokens = True
         (self.break_id,) = self._library("\n").tolist()
-        self._forget()
+        self._begin()
 
     def _library(self, text: str) -> np.ndarray:
         # encode_batch_fast leaves out character offsets; the ids are those of encode_batch.
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
-    def _forget(self) -> None:
+    def _begin(self) -> None:
         self.rows: dict[int, int] = {}
         self.n_rows, self.n_ids = 0, 0
-        self.start, self.size, self.ids = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 20, np.uint32)
+        self.start, self.size, self.uses = (np.zeros(1 << 16, np.int64) for _ in range(3))
+        self.ids = np.zeros(1 << 20, np.uint32)
         self._add(np.array([self.end_id], np.uint32), np.zeros(1, np.int64), np.ones(1, np.int64))
 
+    def _forget(self) -> None:
+        """Keeps the words that were met in two steps or more, if these are few enough."""
+        known, start, size, ids = self.rows, self.start, self.size, self.ids
+        often = {k: row for k, row in known.items() if self.uses[row] > 1}
+        self._begin()
+        if len(often) <= REMEMBERED // 2:
+            rows = np.fromiter(often.values(), np.int64, len(often))
+            reach = size[rows].cumsum()
+            parts = ids[np.arange(int(reach[-1]) if len(rows) else 0) + np.repeat(start[rows] - (reach - size[rows]), size[rows])]
+            row = self._add(parts, reach - size[rows], size[rows])
+            self.rows = dict(zip(often, range(row, row + len(rows))))
+
     def _add(self, ids: np.ndarray, start: np.ndarray, size: np.ndarray) -> int:
         """Keeps ids and the parts of them that start and size tell; returns the first part's row."""
         row, n, m = self.n_rows, len(start), len(ids)
         while row + n > len(self.start):
-            self.start, self.size = np.concatenate([self.start, self.start]), np.concatenate([self.size, self.size])
+            self.start, self.size, self.uses = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size, self.uses))
         while self.n_ids + m > len(self.ids):
             self.ids = np.concatenate([self.ids, self.ids])
         self.ids[self.n_ids : self.n_ids + m] = ids
-        self.start[row : row + n], self.size[row : row + n] = start + self.n_ids, size
+        self.start[row : row + n], self.size[row : row + n], self.uses[row : row + n] = start + self.n_ids, size, 0
         self.n_rows, self.n_ids = row + n, self.n_ids + m
         return row
 
@@ -143,6 +156,7 @@ class Encoder:
                 row = self._learn([data[a:z] for a, z in zip(w.starts[own].tolist(), w.ends[own].tolist())], kind[own])
                 rows[new] = np.arange(row, row + len(new))
                 self.rows.update(zip(distinct[new].tolist(), range(row, row + len(new))))
+            self.uses[rows] += 1
             # The texts' items: their words, or one item that holds a whole text, and the end.
             items, spot = rows[inverse], np.searchsorted(used, first[1:])
             for k in np.flatnonzero(~plain)[::-1].tolist():
@@ -285,10 +299,9 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, shar
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     order = [F.asc_nulls_first("doc_id"), F.xxhash64("text")]
     parts = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+    dealt = rows.repartitionByRange(parts, order[0]).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common.frugal()
         encoder = encoder_of(tokenizer, end_id)
         held: list[np.ndarray] = []
         sizes: list[int] = []

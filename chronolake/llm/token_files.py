@@ -39,9 +39,11 @@ END_ID = 2
 #: Rounds of replacement, rules a round, and occurrences that a rule needs.
 ROUNDS, RULES, LEAST = 4, 4096, 64
 #: Words whose ids an encoder remembers.
-REMEMBERED = 1_600_000
+REMEMBERED = 700_000
+#: Words that the library gets as one text.
+WORDS_A_TEXT = 512
 #: Hash table in which neighbouring pairs are counted first; only pairs in full cells are then counted exactly.
-CELLS = 1 << 20
+CELLS = 1 << 16
 
 
 _first_of_space = np.zeros(256, bool)
@@ -75,9 +77,9 @@ class Encoder:
         (self.break_id,) = self._library("\n").tolist()
         self._begin()
 
-    def _library(self, text: str) -> np.ndarray:
+    def _library(self, *texts: str) -> np.ndarray:
         # encode_batch_fast leaves out character offsets; the ids are those of encode_batch.
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+        return np.concatenate([np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(list(texts), add_special_tokens=False)])
 
     def _begin(self) -> None:
         self.rows: dict[int, int] = {}
@@ -113,10 +115,10 @@ class Encoder:
     def _learn(self, words: list[bytes], kind: np.ndarray) -> int:
         """Rows of words before which stand nothing (kind 0), a space (1) or a line break (2).
 
-        A line break is an id of its own between words. So all are encoded as one text, a line break before each, and taken apart there.
+        A line break is an id of its own between words. So many are encoded as one text, a line break before each, and taken apart there.
         """
-        text = b"\n" + b"\n".join([b" " + w if k == 1 else w for w, k in zip(words, kind.tolist())])
-        ids = self._library(text.decode())
+        marked = [b"\n " + w if k == 1 else b"\n" + w for w, k in zip(words, kind.tolist())]
+        ids = self._library(*[b"".join(marked[k : k + WORDS_A_TEXT]).decode() for k in range(0, len(marked), WORDS_A_TEXT)])
         breaks = np.flatnonzero(ids == self.break_id)
         if len(breaks) != len(words):
             raise ValueError("the tokenizer does not part lines")
@@ -189,7 +191,7 @@ def repair(ids: np.ndarray, rounds: int = ROUNDS, rules_a_round: int = RULES, le
     for _ in range(rounds):
         if len(seq) < 2:
             break
-        cell = (seq[:-1] * np.uint32(0x9E3779B1) + seq[1:] * np.uint32(0x85EBCA77)) >> np.uint32(12)
+        cell = (seq[:-1] * np.uint32(0x9E3779B1) + seq[1:] * np.uint32(0x85EBCA77)) >> np.uint32(16)
         load = np.bincount(cell, minlength=CELLS)
         full = load[load >= least]
         enough = np.partition(full, -rules_a_round)[-rules_a_round] if len(full) > rules_a_round else least
@@ -253,7 +255,7 @@ class Shard:
         self.ends = take("<u8", docs).astype(np.int64)
         self.rules, self.lengths, self.seq = take("<u4", 2 * rules).reshape(-1, 2), take("<u4", rules), take("<u4", symbols)
         self._reach: np.ndarray | None = None
-        self._expansions: np.ndarray | None = None
+        self._expansions: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
 
     def _sizes(self, symbols: np.ndarray) -> np.ndarray:
         out = np.ones(len(symbols), np.int64)
@@ -275,17 +277,20 @@ class Shard:
         """Like _expand(), by copying from the expansions of all symbols."""
         if self._expansions is None:
             made = self._expand(np.arange(self.first, self.first + len(self.rules), dtype=np.uint32))
-            self._expansions = np.concatenate([np.arange(self.first, dtype=np.uint32), made])
-            self._begin = np.concatenate([np.arange(self.first), self.first + self.lengths.astype(np.int64).cumsum() - self.lengths])
-        sizes = self._sizes(symbols)
-        shift = self._begin[symbols] - (sizes.cumsum() - sizes)
-        return self._expansions[np.arange(int(sizes.sum())) + np.repeat(shift, sizes)]
+            size = np.concatenate([np.ones(self.first, np.int64), self.lengths.astype(np.int64)])
+            self._expansions = np.concatenate([np.arange(self.first, dtype=np.uint32), made]), size, size.cumsum() - size
+        copies, size, begin = self._expansions
+        own = size[symbols]
+        reach = own.cumsum()
+        return copies[np.arange(int(reach[-1])) + np.repeat(begin[symbols] - (reach - own), own)]
 
     def ids(self, start: int = 0, end: int | None = None) -> np.ndarray:
         """Ids from start to end, expanding only the symbols that cover them."""
         end = self.n_ids if end is None else min(end, self.n_ids)
         if start >= end:
             return np.zeros(0, np.uint32)
+        if start == 0 and end == self.n_ids:
+            return self._flat(self.seq)
         if self._reach is None:
             self._reach = self._sizes(self.seq).cumsum()
         a, b = np.searchsorted(self._reach, start, "right"), np.searchsorted(self._reach, end - 1, "right") + 1

@@ -13,7 +13,7 @@ from chronolake import telemetry
 from chronolake.errors import BadRequest, ConnectionMissing, DeleteNotSupported, EngineError, NoDatabase, NotFound, TableNotFound
 from chronolake.functions import time as times
 from chronolake.model import PROFILES, Config, Point, Value, require, supports
-from chronolake.plans import flux, influxql, sql
+from chronolake.plans import flux, iql, sql
 from chronolake.plans.compile import Compiler, Options
 from chronolake.sources import line_protocol
 from chronolake.sources.measurement import Measurement
@@ -202,11 +202,11 @@ class Engine:
         self._auto_create(name)
         return n
 
-    def query_influxql(self, text: str, params: dict[str, Any] | None = None, database: str | None = None) -> list[Row]:
-        require(self.profile, "query_influxql")
-        shown_now = influxql.show(text)
+    def query_iql(self, text: str, params: dict[str, Any] | None = None, database: str | None = None) -> list[Row]:
+        require(self.profile, "query_iql")
+        shown_now = iql.show(text)
         if shown_now is None:
-            return self._run(influxql.to_sql(text), params, database, "rows")
+            return self._run(iql.to_sql(text), params, database, "rows")
         name = self._namespace(database)
         if shown_now.what == "databases":
             return [{"iox::database": d} for d in sorted(self.warehouse.catalog["databases"])]

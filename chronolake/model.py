@@ -22,7 +22,7 @@ class Point:
 
 
 _COMMON = frozenset({"health", "write"})
-_SQL = _COMMON | {"query_sql", "query_sql_stream", "execute_sql", "query_influxql", "create_database", "list_databases", "delete_database"}
+_SQL = _COMMON | {"query_sql", "query_sql_stream", "execute_sql", "query_iql", "create_database", "list_databases", "delete_database"}
 
 #: Operations of each profile.
 PROFILES: dict[str, frozenset[str]] = {

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from chronolake.functions import time as times
 from chronolake.plans import flux as flux_plans
-from chronolake.plans import influxql, sql
+from chronolake.plans import iql, sql
 from chronolake.plans.compile import Compiler, Options
 from chronolake.plans.views import measurement
 from chronolake.session import table
@@ -151,12 +151,12 @@ query("flux_field_filter", f"SELECT *, 'events' AS _measurement FROM ({EVENT_ROW
 
 @query("iql_mean_time", f"SELECT {bin_(5 * 60 * 10**9)} AS time, avg(value) AS mean FROM events WHERE event_type = 'view' GROUP BY 1")
 def _iql_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run_sql(influxql.to_sql("SELECT mean(value) FROM events WHERE event_type = 'view' GROUP BY time(5m)"))(spark, sf_dir)
+    return run_sql(iql.to_sql("SELECT mean(value) FROM events WHERE event_type = 'view' GROUP BY time(5m)"))(spark, sf_dir)
 
 
 @query("iql_show_tag_keys", "SELECT * FROM (VALUES ('orders', 'o_orderpriority'), ('orders', 'o_orderstatus')) t(\"iox::measurement\", tagKey)")
 def _iql_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = influxql.show("SHOW TAG KEYS FROM orders")
+    found = iql.show("SHOW TAG KEYS FROM orders")
     m = measurement(spark, sf_dir, found.measurement)
     return spark.createDataFrame([(m.name, k) for k in sorted(m.tags)], "`iox::measurement` string, tagKey string")
 

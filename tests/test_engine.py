@@ -20,7 +20,7 @@ def test_delete(engine, spark, root):
     with pytest.raises(BadRequest):
         engine.execute_sql("DELETE FROM cpu WHERE host ~ 'x'")
     assert engine.execute_sql("DELETE FROM cpu") == {"rows_affected": 1}
-    assert engine.query_influxql("SHOW MEASUREMENTS") == []
+    assert engine.query_iql("SHOW MEASUREMENTS") == []
     assert engine.execute_sql("DELETE FROM nothing") == {"rows_affected": 0}
     assert engine.execute_sql("CREATE TABLE x (y int)") == {"rows_affected": 0}
     with pytest.raises(DeleteNotSupported):
@@ -47,7 +47,7 @@ def test_bad_line_writes_nothing(engine):
     with pytest.raises(BadRequest):
         engine.write("m v=1i 1\nthis is not line protocol!!", "fresh")
     assert {"name": "fresh"} not in engine.list_databases()
-    assert engine.query_influxql("SHOW MEASUREMENTS") == []
+    assert engine.query_iql("SHOW MEASUREMENTS") == []
 
 
 def test_tasks_parse_like_the_driver(engine, spark, root, monkeypatch):
@@ -92,12 +92,12 @@ def test_databases(engine):
     engine.create_database("a")
     engine.write("m v=1i", "b")
     assert [d["name"] for d in engine.list_databases()] == ["a", "b", "default"]
-    assert {"iox::database": "b"} in engine.query_influxql("SHOW DATABASES")
+    assert {"iox::database": "b"} in engine.query_iql("SHOW DATABASES")
     engine.delete_database("b")
     with pytest.raises(NotFound):
         engine.delete_database("b")
     engine.create_database("b")
-    assert engine.query_influxql("show measurements", database="b") == []
+    assert engine.query_iql("show measurements", database="b") == []
 
 
 def test_catalog_outlives_the_engine(engine, spark, root):
@@ -106,14 +106,14 @@ def test_catalog_outlives_the_engine(engine, spark, root):
     assert again.query_sql("SELECT * FROM m") == engine.query_sql("SELECT * FROM m")
 
 
-def test_influxql(engine):
+def test_iql(engine):
     engine.write("\n".join(f"cpu,host=a,zone=z v={i}.0 {i * 60_000_000_000}" for i in range(10)))
-    assert engine.query_influxql("SHOW TAG KEYS FROM cpu") == [{"iox::measurement": "cpu", "tagKey": k} for k in ("host", "zone")]
-    assert engine.query_influxql('SHOW TAG KEYS FROM "nothing"') == []
-    assert engine.query_influxql("SHOW FIELD KEYS") == [{"iox::measurement": "cpu", "fieldKey": "v"}]
-    rows = engine.query_influxql("SELECT mean(v) FROM cpu WHERE host = 'a' GROUP BY time(5m)")
+    assert engine.query_iql("SHOW TAG KEYS FROM cpu") == [{"iox::measurement": "cpu", "tagKey": k} for k in ("host", "zone")]
+    assert engine.query_iql('SHOW TAG KEYS FROM "nothing"') == []
+    assert engine.query_iql("SHOW FIELD KEYS") == [{"iox::measurement": "cpu", "fieldKey": "v"}]
+    rows = engine.query_iql("SELECT mean(v) FROM cpu WHERE host = 'a' GROUP BY time(5m)")
     assert sorted((r["time"], r["mean"]) for r in rows) == [("1970-01-01T00:00:00", 2.0), ("1970-01-01T00:05:00", 7.0)]
-    assert len(engine.query_influxql("SELECT * FROM cpu")) == 10
+    assert len(engine.query_iql("SELECT * FROM cpu")) == 10
 
 
 def test_flux(spark, root):
@@ -139,7 +139,7 @@ def test_flux(spark, root):
 
 
 def test_profiles(spark, root):
-    args = {"write": ("m v=1i",), "query_sql": ("SELECT 1",), "query_influxql": ("SHOW DATABASES",), "query_flux": ("",), "execute_sql": ("",)}
+    args = {"write": ("m v=1i",), "query_sql": ("SELECT 1",), "query_iql": ("SHOW DATABASES",), "query_flux": ("",), "execute_sql": ("",)}
     for profile, allowed in PROFILES.items():
         e = Engine(spark, f"{root}/{profile}", profile)
         for op in set().union(*PROFILES.values()) - allowed - {"query_sql_stream"}:
@@ -170,7 +170,7 @@ def test_config_and_connections(spark, root):
     assert Config.validated(host="h").url == "https://h:8086"
     c = Connections()
     c.add(spark, root, host="h", name="a", database="db").write("m v=1i")
-    assert c.get("a").query_influxql("SHOW MEASUREMENTS", database="db")[0]["name"] == "m" and c.config("a").host == "h"
+    assert c.get("a").query_iql("SHOW MEASUREMENTS", database="db")[0]["name"] == "m" and c.config("a").host == "h"
     c.remove("a")
     with pytest.raises(ConnectionMissing):
         c.get("a")

@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 
 from chronolake.llm import common
 
+#: Numbers that place() gives: 0 to PLACES - 1.
+PLACES = 1 << 52
 #: Rows in a hash slice, and the most slices of one source.
 SLICE_ROWS, MAX_SLICES = 256, 2048
 #: Sources up to which the table of sources is broadcast; beyond, it is joined by a shuffle.
@@ -29,7 +31,7 @@ BROADCAST_SOURCES = 100_000
 
 
 def word_count(text: Column) -> Column:
-    """Number of words without making them: ends of words, which a blank or the end of the text follows."""
+    """Number of words of a text; 0 for a null."""
     return F.coalesce(F.regexp_count(text, F.lit(common.WORD)), F.lit(0)).cast("long")
 
 
@@ -85,7 +87,8 @@ def plan(
 ) -> tuple[DataFrame, DataFrame, int]:
     """The sized rows; one row per source with source_size, target, whole and cut; and the number of sources.
 
-    A row is taken `whole` times, and once more if its (place, doc_id, size) is no later than its source's cut (null: none is).
+    A row is taken `whole` times, and once more if its slice of the hash stands before its source's cut_slice, or if its (place, doc_id,
+    size) is no later than the source's cut (null: none is).
     """
     rows = common.cut(sized(docs, seed, id_col, text_col, source_col))
     per_source = targets(rows, max_epochs, cycle).withColumn(
@@ -97,7 +100,7 @@ def plan(
         )
     )
     n = per_source.count()
-    wide = joined(rows, per_source, n).withColumn("slice", F.expr("cast(place * slices div 4503599627370496 as bigint)"))
+    wide = joined(rows, per_source, n).withColumn("slice", F.expr(f"place * slices div {PLACES}"))
     before = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     sums = (
         wide.groupBy("source", "slice", "missing")
@@ -114,8 +117,7 @@ def plan(
     ahead = F.col("base") + F.coalesce(F.sum("size").over(order), F.lit(0))
     taken = inside.withColumn("ahead", ahead).where(F.col("ahead") + F.col("size") / 2.0 <= F.col("missing"))
     cuts = taken.groupBy("source").agg(F.max(F.struct("place", "doc_id", "size")).alias("cut"))
-    # Without a row taken from the cut's slice, the slices before it end the part that is taken.
-    edge = last.select(F.col("cut_source").alias("s"), F.expr("cut_slice").alias("cut_slice"))
+    edge = last.select(F.col("cut_source").alias("s"), "cut_slice")
     out = (
         per_source.join(cuts.withColumnRenamed("source", "c"), F.col("source").eqNullSafe(F.col("c")), "left")
         .join(edge, F.col("source").eqNullSafe(F.col("s")), "left")
@@ -133,7 +135,7 @@ def repetitions(at: Column, doc_id: Column, size: Column, prefix: str = "") -> C
     """Repetitions of a row with this place, from its source's columns."""
     source = lambda name: F.col(prefix + name)
     own = F.struct(at.alias("place"), doc_id.alias("doc_id"), size.alias("size"))
-    slice_before = F.call_function("div", at * source("slices"), F.lit(4503599627370496)) < source("cut_slice")
+    slice_before = F.call_function("div", at * source("slices"), F.lit(PLACES)) < source("cut_slice")
     return source("whole") + (F.coalesce(slice_before, F.lit(False)) | F.coalesce(own <= source("cut"), F.lit(False))).cast("long")
 
 

@@ -45,6 +45,8 @@ CELL_BITS, PARTS = 20, 64
 HOT, HOT_MEANS = 1000, 8
 #: Sets of a group that one task joins at once.
 BLOCK = 1000
+#: Times that settled sets are looked for among those that remain.
+PRUNINGS = 3
 #: Positions in a block of an index list.
 POSITIONS = 8
 #: Ids up to which a list of documents is broadcast.
@@ -169,15 +171,16 @@ def _groups(prefixes: DataFrame, classes: DataFrame) -> DataFrame:
     )
     # Most sets are settled here, so that what follows moves little.
     live = met.join(common.small(common.cut(_enough(met)), BROADCAST_IDS), "doc_id", "left_semi")
-    multiple = classes.where("doc_id <> class")
-    live = live.join(multiple, "doc_id", "left").select("token", F.coalesce("class", "doc_id").alias("doc_id"), "need").distinct()
-    for _ in range(2):
-        live = live.join(_enough(live), "doc_id", "left_semi")
+    multiple = common.cut(classes.where("doc_id <> class"))
+    live = live.join(common.small(multiple, BROADCAST_IDS), "doc_id", "left").select("token", F.coalesce("class", "doc_id").alias("doc_id"), "need")
+    live = common.cut(live.distinct())
+    for _ in range(PRUNINGS):
+        # Shingles that only one set is left with are no longer common, which settles further sets.
+        live = live.join(common.small(common.cut(_enough(live)), BROADCAST_IDS), "doc_id", "left_semi")
         pivots = live.groupBy("token").agg(F.min("doc_id").alias("v"), F.max("doc_id").alias("most")).where("v < most").select("token", "v")
-        live = common.cut(live.join(pivots, "token").select("token", "doc_id", "need", "v"))
-        edges = live.select(F.col("doc_id").alias("u"), "v").where("u <> v").distinct()
-        live = live.drop("v")
-    stars = graph.components(edges)
+        tied = common.cut(live.join(pivots, "token").select("token", "doc_id", "need", "v"))
+        live = tied.drop("v")
+    stars = graph.components(tied.select(F.col("doc_id").alias("u"), "v").where("u <> v").distinct())
     return common.cut(
         stars.select(F.col("node").alias("doc_id"), F.col("component").alias("grp")).unionByName(
             stars.select(F.col("component").alias("doc_id"), F.col("component").alias("grp")).distinct()

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from chronolake.llm import common, textops
 
 MAGIC = b"RPR1"
-SHARD_IDS = 1 << 19
+SHARD_IDS = 1 << 18
 END_ID = 2
 #: Rounds of replacement, rules a round, and occurrences that a rule needs.
 ROUNDS, RULES, LEAST = 4, 4096, 64

@@ -78,6 +78,7 @@ def _documents_anchors(rows: DataFrame, window: int) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("h", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.frugal()
         for b in batches:
             ids, out = b.column(0).to_pylist(), []
             for at, to, w in textops.steps(b.column(1)):
@@ -96,6 +97,7 @@ def _segments(rows: DataFrame, shared: DataFrame, n_docs: int, n_anchors: int, w
     schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("start", pa.int64()), ("text", pa.large_string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.frugal()
         for b in batches:
             ids, hashes, lists, out = b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3), []
             for at, to, w in textops.steps(b.column(1)):
@@ -117,6 +119,7 @@ def _recurring(segments: DataFrame, window: int) -> DataFrame:
     schema = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("doc_id", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.frugal()
         for b in batches:
             ids = b.column(0).to_pylist()
             for at, to, w in textops.steps(b.column(1)):
@@ -141,6 +144,7 @@ def _passages(segments: DataFrame, recurring: DataFrame, window: int) -> DataFra
     schema = pa.schema([("pid", pa.binary()), ("first", pa.int64()), ("text", pa.large_string()), ("h", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.frugal()
         for b in batches:
             ids, lists, out = b.column(0).to_pylist(), b.column(2), []
             for at, to, w in textops.steps(b.column(1)):
@@ -233,6 +237,7 @@ def _located(segments: DataFrame, shared: DataFrame, passages: DataFrame, window
     schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.frugal()
         now, automaton = None, None
         for b in batches:
             shard_of, kind, ids, th, first = (b.column(k).to_pylist() for k in range(5))
@@ -268,6 +273,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.large_string())])
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.frugal()
         for b in common.sliced(batches):
             out = []
             for d, t, own in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):

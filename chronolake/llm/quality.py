@@ -73,9 +73,12 @@ class ByteNet:
     def extras(c: np.ndarray) -> np.ndarray:
         """Length in chunks, bytes of the first chunk used, and how often bytes come back at the distance that fits each chunk best."""
         n = len(c)
-        lags = range(4, 25)
-        some = c[:: max(1, n // 64)]
-        same = max(float((some[:, lag:CHUNK] == some[:, : CHUNK - lag]).mean()) for lag in lags)
+        lags = np.arange(4, 25)
+        matches = np.zeros(len(lags), np.int64)
+        for k in range(0, n, BLOCK):
+            part = c[k : k + BLOCK]
+            matches += [np.count_nonzero(part[:, lag:CHUNK] == part[:, : CHUNK - lag]) for lag in lags]
+        same = float((matches / (n * (CHUNK - lags))).max())
         return np.array([np.log1p(n) / 3, float((c[0] != 0).mean()), 3 * same], np.float32)
 
     def features(self, pooled: np.ndarray, extras: np.ndarray) -> np.ndarray:

@@ -48,6 +48,17 @@ def test_classifiers_awkward(spark, awkward, nothing, module, label):
         assert sorted(module.score(awkward, model).columns) == sorted(awkward.columns)
 
 
+@pytest.mark.parametrize("n", [127, 128, 129, 700])
+def test_quality_repetition_reads_every_chunk(n):
+    rng = random.Random(n)
+    noise = lambda: "".join(chr(rng.randrange(33, 127)) for _ in range(quality.CHUNK))
+    same = lambda c: max(float((c[:, lag : quality.CHUNK] == c[:, : quality.CHUNK - lag]).mean()) for lag in range(4, 25))
+    for first in (0, 1):
+        text = "".join(noise() if k % 2 == first else "abcdefg " * (quality.CHUNK // 8) for k in range(n))
+        c = quality.chunks(text)
+        assert len(c) == n and quality.ByteNet.extras(c)[2] == pytest.approx(3 * same(c), rel=1e-6)
+
+
 def test_trees_and_isotonic():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(2000, 3))

@@ -8,7 +8,8 @@ least edit distance of the item to any part of the text around it.
 Items are read in blocks of at most `block_chars` characters, one pass over the texts for each block: a benchmark of the usual
 size is one block, and a larger one needs more passes, never more memory.
 
-Cases: null and empty texts meet nothing; null or blank items are left out, and items under `least_chars` characters must be
+Cases: null and empty texts meet nothing; items with a null or blank text are left out, a null item id is
+reported as null, and items under `least_chars` characters must be
 met exactly, between word borders. Texts are searched whole. Equal items are reported each. Rows that repeat an id give rows each. Empty
 tables give no rows. Other columns are ignored, or kept by clean().
 """
@@ -32,10 +33,15 @@ def normal(text: str) -> str:
     return " ".join(text.lower().split())
 
 
+def _last_null(item_id: int | None) -> tuple[bool, int]:
+    """A sort key of ids, nulls last."""
+    return item_id is None, item_id or 0
+
+
 class Pattern:
     """An item, its error budget and the bit masks of its characters."""
 
-    def __init__(self, item_id: int, text: str, rate: float, least_chars: int):
+    def __init__(self, item_id: int | None, text: str, rate: float, least_chars: int):
         self.item_id, self.text = item_id, text
         self.budget = math.floor(rate * len(text) + 1e-9) if len(text) >= least_chars else 0
         self.short = len(text) < least_chars
@@ -90,7 +96,7 @@ def nearest(masks: dict[str, int], m: int, text: str, anchored: bool = False) ->
 
 
 class Matcher:
-    def __init__(self, items: list[tuple[int, str]], rate: float, least_chars: int):
+    def __init__(self, items: list[tuple[int | None, str]], rate: float, least_chars: int):
         self.patterns = [Pattern(i, t, rate, least_chars) for i, t in items if t]
         self.automaton = ahocorasick.Automaton()
         by_piece: dict[str, list[tuple[int, int]]] = {}
@@ -102,7 +108,7 @@ class Matcher:
         if by_piece:
             self.automaton.make_automaton()
 
-    def find(self, text: str) -> list[tuple[int, int, int, int]]:
+    def find(self, text: str) -> list[tuple[int | None, int, int, int]]:
         """(item_id, distance, start, end) of the nearest place of each item that the text meets, in the normalised text."""
         if not self.patterns or not text:
             return []
@@ -142,17 +148,17 @@ class Matcher:
                     best = distance, a + start, a + end
             if best is not None:
                 out.append((p.item_id, *best))
-        return sorted(out)
+        return sorted(out, key=lambda hit: (_last_null(hit[0]), *hit[1:]))
 
 
-def blocks(items: DataFrame, id_col: str, text_col: str, block_chars: int) -> Iterator[list[tuple[int, str]]]:
+def blocks(items: DataFrame, id_col: str, text_col: str, block_chars: int) -> Iterator[list[tuple[int | None, str]]]:
     """The items in blocks that are bounded by their characters: first ids and lengths are summed, then block after block is read."""
-    rows = items.select(F.col(id_col).alias("item_id"), F.col(text_col).alias("text")).where("text is not null and item_id is not null")
+    rows = items.select(F.col(id_col).alias("item_id"), F.col(text_col).alias("text")).where("text is not null")
     total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, -(-2 * int(total) // block_chars)) if total > block_chars else 1
     for k in range(n):
         own = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()
-        yield sorted((r["item_id"], normal(r["text"])) for r in own)
+        yield sorted(((r["item_id"], normal(r["text"])) for r in own), key=lambda i: (_last_null(i[0]), i[1]))
 
 
 def matches(
@@ -167,7 +173,7 @@ def matches(
     """One row per document and item that it holds: doc_id, item_id, distance, start, end (characters of the normalised text)."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
-    def search(some: list[tuple[int, str]]):
+    def search(some: list[tuple[int | None, str]]):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(some, rate, least_chars)
             for b in common.sliced(batches):
@@ -190,7 +196,7 @@ def clean(docs: DataFrame, items: DataFrame, rate: float = RATE, least_chars: in
     """The rows of docs whose texts meet no item."""
     for some in blocks(items, "item_id", "text", block_chars):
 
-        def keep(batches: Iterator[pa.RecordBatch], some: list[tuple[int, str]] = some) -> Iterator[pa.RecordBatch]:
+        def keep(batches: Iterator[pa.RecordBatch], some: list[tuple[int | None, str]] = some) -> Iterator[pa.RecordBatch]:
             common.frugal()
             matcher = Matcher(some, rate, least_chars)
             for b in common.sliced(batches):

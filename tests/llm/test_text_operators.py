@@ -315,6 +315,17 @@ def test_decontamination_against_brute_force(spark):
     assert decontamination.matches(docs, given.where("false")).count() == 0
 
 
+def test_items_without_an_id_are_met(spark):
+    passage = "the quick brown fox jumps over the lazy dog near the old mill"
+    items = spark.createDataFrame([(None, passage), (None, "short one"), (7, passage), (None, None), (None, " ")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"before {passage} after"), (2, "a short one."), (3, "nothing of it")], "doc_id long, text string")
+    for block in (8_000_000, 50):
+        got = decontamination.matches(docs, items, block_chars=block).collect()
+        assert Counter((r["doc_id"], r["item_id"], r["distance"]) for r in got) == Counter([(1, None, 0), (1, 7, 0), (2, None, 0)])
+        kept = decontamination.clean(docs, items.where("item_id is null"), block_chars=block)
+        assert [r["doc_id"] for r in kept.collect()] == [3]
+
+
 def test_myers_finds_part_and_distance():
     rng = random.Random(3)
     for _ in range(200):

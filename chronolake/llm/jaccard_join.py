@@ -4,7 +4,8 @@ A document's set holds the 64-bit hashes of its distinct word shingles. Two sets
 threshold. The join is exact; what it skips cannot link:
 
 1. One pass makes every set's size and 128-bit key, and counts all shingles in a table of fixed size by hash cell. Sets with equal
-   keys are one class, of which the smallest id stands for all.
+   keys are one class, of which the smallest id stands for all. Up to the join, classes go by 64 bits of their key, not by an id,
+   as an id may have several sets; two keys that share these bits only meet needlessly.
 2. Shingles are ordered by the count of their cell, then by hash; any common order is right, and this one puts frequent shingles
    last. Two linked sets of sizes n and m have at least l of their first n - ceil(t n) + l (m - ceil(t m) + l) shingles in
    common. These prefixes, with l = size // 10, meet in one shuffle by shingle; a set whose prefix has fewer than l shingles that
@@ -33,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronolake.llm import common, graph, textops
@@ -61,6 +62,19 @@ def _cells(tokens: np.ndarray) -> np.ndarray:
     return (tokens >> np.uint64(64 - CELL_BITS)).astype(np.int64)
 
 
+def _key(s: np.ndarray) -> bytes:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+
+
+def _short(key: bytes) -> int:
+    """The first 64 bits of a set's key, as _short_column gives them."""
+    return int.from_bytes(key[:8], "big", signed=True)
+
+
+def _short_column(key: str) -> Column:
+    return F.conv(F.hex(F.substring(key, 1, 8)), 16, -10).cast("long")
+
+
 def _sets(texts: pa.Array, size: int) -> Iterator[tuple[int, np.ndarray]]:
     """(row, sorted set) of every text."""
     for at, to, words in textops.steps(texts, lower=True):
@@ -79,7 +93,7 @@ def _summaries(rows: DataFrame, size: int) -> DataFrame:
             n, keys, tokens = [], [], []
             for _, s in _sets(b.column(1), size):
                 n.append(len(s))
-                keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                keys.append(_key(s))
                 tokens.append(_cells(s))
                 if len(tokens) == 512:
                     counts += np.bincount(np.concatenate(tokens), minlength=1 << CELL_BITS).astype(np.uint32)
@@ -113,13 +127,13 @@ def _frequencies(summaries: DataFrame) -> np.ndarray:
 
 
 def _prefixes(rows: DataFrame, size: int, percent: int, table) -> DataFrame:
-    """token, doc_id, need, hot: the prefixes' shingles. A set that a task has met already is not given twice."""
+    """token, short, need, hot: the prefixes' shingles. A set that a task has met already is not given twice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.frugal()
         counts = table.value
         limit = max(HOT, int(HOT_MEANS * counts.mean()))
-        met: dict[int, int] = {}
+        met: set[int] = set()
         for b in batches:
             ids = b.column(0).to_pylist()
             tokens, owners, needs = [], [], []
@@ -129,7 +143,7 @@ def _prefixes(rows: DataFrame, size: int, percent: int, table) -> DataFrame:
                 lengths = [len(x) for x in tokens]
                 out = pa.RecordBatch.from_arrays(
                     [pa.array(textops.signed(t)), pa.array(np.repeat(np.array(owners, np.int64), lengths)), pa.array(np.repeat(np.array(needs, np.int32), lengths)), pa.array(counts[_cells(t)] > limit)],
-                    names=["token", "doc_id", "need", "hot"],
+                    names=["token", "short", "need", "hot"],
                 )
                 tokens.clear(), owners.clear(), needs.clear()
                 return out
@@ -138,52 +152,50 @@ def _prefixes(rows: DataFrame, size: int, percent: int, table) -> DataFrame:
                 n = len(s)
                 if not n or ids[k] is None:
                     continue
-                key = hash(s.tobytes())
-                if met.get(key, ids[k] + 1) <= ids[k]:
-                    continue  # an equal set of a smaller id stands for it
+                short = _short(_key(s))
+                if short in met:
+                    continue
                 if len(met) < 200_000:
-                    met[key] = ids[k]
+                    met.add(short)
                 need = int(_needed(n, percent))
                 length = n - need + max(1, n // 10)
                 order = np.lexsort((s, counts[_cells(s)]))
                 tokens.append(s[order[:length]])
-                owners.append(ids[k])
+                owners.append(short)
                 needs.append(max(1, need // 10))
                 if len(owners) == 1024:
                     yield flush()
             if owners:
                 yield flush()
 
-    return rows.mapInArrow(run, "token long, doc_id long, need int, hot boolean")
+    return rows.mapInArrow(run, "token long, short long, need int, hot boolean")
 
 
 def _enough(rows: DataFrame) -> DataFrame:
-    """doc_id of the sets with as many common prefix shingles as a link needs."""
-    return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("have"), F.min("need").alias("least")).where("have >= least").select("doc_id")
+    """short of the sets with as many common prefix shingles as a link needs."""
+    return rows.groupBy("short").agg(F.count(F.lit(1)).alias("have"), F.min("need").alias("least")).where("have >= least").select("short")
 
 
-def _groups(prefixes: DataFrame, classes: DataFrame) -> DataFrame:
-    """class and grp of all sets that may link with another."""
+def _groups(prefixes: DataFrame) -> DataFrame:
+    """short and grp of all sets that may link with another."""
     own = Window.partitionBy("token")
-    cold = prefixes.where("not hot").select("token", "doc_id", "need", F.min("doc_id").over(own).alias("lo"), F.max("doc_id").over(own).alias("hi"))
+    cold = prefixes.where("not hot").select("token", "short", "need", F.min("short").over(own).alias("lo"), F.max("short").over(own).alias("hi"))
     met = common.store(
-        cold.where("lo <> hi").select("token", "doc_id", "need").unionByName(prefixes.where("hot").select("token", "doc_id", "need")), "jaccard-met"
+        cold.where("lo <> hi").select("token", "short", "need").unionByName(prefixes.where("hot").select("token", "short", "need")), "jaccard-met"
     )
     # Most sets are settled here, so that what follows moves little.
-    live = met.join(common.small(common.cut(_enough(met)), BROADCAST_IDS), "doc_id", "left_semi")
-    multiple = common.cut(classes.where("doc_id <> class"))
-    live = live.join(common.small(multiple, BROADCAST_IDS), "doc_id", "left").select("token", F.coalesce("class", "doc_id").alias("doc_id"), "need")
+    live = met.join(common.small(common.cut(_enough(met)), BROADCAST_IDS), "short", "left_semi")
     live = common.cut(live.distinct())
     for _ in range(PRUNINGS):
         # Shingles that only one set is left with are no longer common, which settles further sets.
-        live = live.join(common.small(common.cut(_enough(live)), BROADCAST_IDS), "doc_id", "left_semi")
-        pivots = live.groupBy("token").agg(F.min("doc_id").alias("v"), F.max("doc_id").alias("most")).where("v < most").select("token", "v")
-        tied = common.cut(live.join(pivots, "token").select("token", "doc_id", "need", "v"))
+        live = live.join(common.small(common.cut(_enough(live)), BROADCAST_IDS), "short", "left_semi")
+        pivots = live.groupBy("token").agg(F.min("short").alias("v"), F.max("short").alias("most")).where("v < most").select("token", "v")
+        tied = common.cut(live.join(pivots, "token").select("token", "short", "need", "v"))
         live = tied.drop("v")
-    stars = graph.components(tied.select(F.col("doc_id").alias("u"), "v").where("u <> v").distinct())
+    stars = graph.components(tied.select(F.col("short").alias("u"), "v").where("u <> v").distinct())
     return common.cut(
-        stars.select(F.col("node").alias("doc_id"), F.col("component").alias("grp")).unionByName(
-            stars.select(F.col("component").alias("doc_id"), F.col("component").alias("grp")).distinct()
+        stars.select(F.col("node").alias("short"), F.col("component").alias("grp")).unionByName(
+            stars.select(F.col("component").alias("short"), F.col("component").alias("grp")).distinct()
         )
     )
 
@@ -262,29 +274,36 @@ def join_group(ids: list[int], sets: list[np.ndarray], percent: int = PERCENT) -
     return forest
 
 
-def _links(rows: DataFrame, groups: DataFrame, size: int, percent: int) -> DataFrame:
-    """u, v: stars of the sets that link, within groups or pairs of their blocks."""
+def _links(rows: DataFrame, groups: DataFrame, least: DataFrame, size: int, percent: int) -> DataFrame:
+    """u, v: stars of the ids whose sets link, within groups or pairs of their blocks. least: doc_id and short of each set's smallest id."""
     counts = common.cut(groups.groupBy("grp").count())
     large = counts.where(F.col("count") > BLOCK).select("grp", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-    placed = groups.join(large, "grp", "left").select("doc_id", "grp", F.coalesce("blocks", F.lit(1)).alias("blocks"))
-    chosen = rows.join(common.small(placed, BROADCAST_IDS, groups.count()), "doc_id").select("doc_id", "text", "grp", "blocks")
+    placed = groups.join(large, "grp", "left").select("short", "grp", F.coalesce("blocks", F.lit(1)).alias("blocks"))
+    named = common.cut(least.join(common.small(placed, BROADCAST_IDS, groups.count()), "short").distinct())
+    chosen = rows.join(common.small(named, BROADCAST_IDS), "doc_id").select("doc_id", "text", "grp", "blocks", "short")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.frugal()
         for b in common.sliced(batches):
-            sets = [textops.signed(s) for _, s in _sets(b.column(1), size)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "grp", "blocks", "tokens"])
-
-    sets = chosen.mapInArrow(make, "doc_id long, grp long, blocks int, tokens array<long>")
-    own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
+            # Each of an id's texts meets each of its classes: only its own is kept.
+            shorts = b.column(4).to_pylist()
+            own = [(k, textops.signed(s)) for k, s in _sets(b.column(1), size) if _short(_key(s)) == shorts[k]]
+            kept = b.select(["doc_id", "grp", "blocks", "short"]).take(pa.array([k for k, _ in own], pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [*kept.columns, pa.array([s for _, s in own], pa.list_(pa.int64()))], names=["doc_id", "grp", "blocks", "short", "tokens"]
+            )
+
+    sets = chosen.mapInArrow(make, "doc_id long, grp long, blocks int, short long, tokens array<long>")
+    own = F.pmod(F.xxhash64("short"), F.col("blocks")).cast("int")
     # One copy of a set for each other block of its group: one in all but the largest groups.
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
-    dealt = sets.select("grp", F.explode(pairs).alias("pair"), "doc_id", "tokens").select("grp", F.col("pair.i").alias("i"), F.col("pair.j").alias("j"), "doc_id", "tokens")
-    dealt = dealt.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j", "doc_id")
+    dealt = sets.select("grp", F.explode(pairs).alias("pair"), "doc_id", "short", "tokens")
+    dealt = dealt.select("grp", F.col("pair.i").alias("i"), F.col("pair.j").alias("j"), "doc_id", "short", "tokens")
+    dealt = dealt.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j", "doc_id", "short")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.frugal()
-        now, ids, sets, out = None, [], [], []
+        now, last, ids, sets, out = None, None, [], [], []
 
         def done() -> None:
             # An id's several texts are several sets; equal sets are one class and come once.
@@ -294,12 +313,14 @@ def _links(rows: DataFrame, groups: DataFrame, size: int, percent: int) -> DataF
 
         for b in batches:
             keys = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()))
-            lists = b.column(4)
+            lists = b.column(5)
             offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
-            for k, (key, d) in enumerate(zip(keys, b.column(3).to_pylist())):
+            for k, (key, d, short) in enumerate(zip(keys, b.column(3).to_pylist(), b.column(4).to_pylist())):
                 if key != now and ids:
                     done()
-                now = key
+                if (key, d, short) == last:
+                    continue  # a row that repeats an id and its text
+                now, last = key, (key, d, short)
                 ids.append(d)
                 sets.append(flat[offsets[k] : offsets[k + 1]].copy())
             if len(out) >= 20_000:
@@ -320,12 +341,14 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
     own = summaries.where("part is null")
     real = own.where("n > 0 and doc_id is not null").select("doc_id", "key")
     least = real.groupBy("key").agg(F.min("doc_id").alias("class"))
-    with_class = common.cut(own.join(least, "key", "left").select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("class")).alias("class")))
-    classes = with_class.where("class is not null").groupBy("doc_id").agg(F.min("class").alias("class"))
+    with_class = common.cut(
+        own.join(least, "key", "left").select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("class")).alias("class"), _short_column("key").alias("short"))
+    )
     table = rows.sparkSession.sparkContext.broadcast(_frequencies(summaries))
-    groups = _groups(_prefixes(rows, size, percent, table), classes)
+    groups = _groups(_prefixes(rows, size, percent, table))
     same = with_class.where("class <> doc_id").select(F.col("doc_id").alias("u"), F.col("class").alias("v"))
-    parts = graph.components(_links(rows, groups, size, percent).unionByName(same))
+    leaders = with_class.where("class = doc_id").select("doc_id", "short")
+    parts = graph.components(_links(rows, groups, leaders, size, percent).unionByName(same))
     return with_class.join(parts, F.col("doc_id") == F.col("node"), "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),

@@ -144,6 +144,16 @@ def test_jaccard_awkward(spark, awkward, nothing):
     assert jaccard_join.jaccard_components(nothing).count() == 0
 
 
+def test_jaccard_links_each_text_of_an_id(spark):
+    rng = random.Random(8)
+    a, b = ([f"{rng.choice('abcdefgh')}{rng.randint(0, 999)}" for _ in range(60)] for _ in range(2))
+    near = lambda w: " ".join([*w[:-1], "other"])
+    rows = [(2, " ".join(a)), (5, " ".join(a)), (5, " ".join(b)), (5, " ".join(b)), (9, near(b)), (12, "a text of its own that nothing links with")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert found_components(docs) == brute_components(rows)
+    assert {d: c for d, _, c in found_components(docs)} == {2: 2, 5: 2, 9: 2, 12: 12}
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(220)] + [(k, k + 1) for k in range(1000, 1100)]

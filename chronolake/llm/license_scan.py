@@ -74,7 +74,7 @@ NOTICES = [
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 GAP_ANY_CASE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 CONTAINMENT = 0.8
-#: Words from one block to the next; a block is twice as long and so holds any run of so many words.
+#: Words from one block to the next, or as many as the longest notice has; a block is twice as long and so holds any run of so many words.
 STRIDE = 48
 
 
@@ -119,6 +119,7 @@ def vocabulary(texts: DataFrame, notices: list[tuple[str, str]]) -> dict[str, in
 def notice_matches(keyed: DataFrame, notices: list[tuple[str, str]], containment: float, stride: int) -> DataFrame:
     """key, label and best containment of each notice's label that a block of the text meets. keyed: key, text."""
     spark = keyed.sparkSession
+    stride = max(stride, *(len(text.split()) for text, _ in notices))
     rank = vocabulary(keyed, notices)
     index, sets = [], []
     for n, (text, label) in enumerate(notices):

@@ -123,6 +123,14 @@ def test_license_scan_against_brute_force(spark, documents):
     assert any(r[6] == "mit" and not r[5] for r in got)
 
 
+def test_license_scan_of_a_notice_longer_than_a_block(spark):
+    notice = " ".join(f"w{k}" for k in range(200))
+    rows = [(k, f"{'x ' * lead}{notice} {'y ' * 50}") for k, lead in enumerate((0, 47, 150))] + [(9, " ".join(notice.split()[:150]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in license_scan.license_scan(docs, notices=[(notice, "long")]).collect()}
+    assert got == {0: ("long", 1.0), 1: ("long", 1.0), 2: ("long", 1.0), 9: ("", 0.0)}
+
+
 def test_license_scan_awkward(awkward, nothing):
     assert license_scan.license_scan(awkward).count() == 10
     assert license_scan.license_scan(nothing).count() == 0

@@ -2,13 +2,13 @@
 
 The whole document, as UTF-8 bytes, is cut into overlapping chunks; the overlap is the filter width less one, so that every
 window of the document lies in exactly one chunk. Learned filters run over each chunk and are max-pooled
-there; a document's features are the largest and the mean chunk value of every filter, the share of chunk pairs that are
-alike, and its length. A hidden layer combines them into one probability.
+there; a document's features are the largest and the mean chunk value of every filter, over all its chunks. A hidden layer combines
+them into one probability.
 
 A filter of width k over one-hot bytes is k look-up tables of 256 values, so that the convolution is k gathers and
-additions. Training is plain Adam on the logistic loss over at most `most_rows` labelled documents (documented bound), of which
-at most `train_chunks` chunks each, evenly spread, are read; scoring always reads every chunk of every document. Rows whose crc32
-of the id divides by 5 are never learned from.
+additions. Training is plain Adam on the logistic loss over labelled documents, of which every chunk is read, as in scoring: at most
+`most_rows` documents, in the order of a hash of the id, that have at most `most_bytes` of text together; a document that does not fit
+any more is passed over (documented bounds). Rows whose crc32 of the id divides by 5 are never learned from.
 
 Cases: null and empty texts are one chunk of padding and get a score like any other; texts of any length are read in
 blocks of bounded memory; without labels of both classes the score is the labels' mean, or 0.5 without any. Repeated rows
@@ -17,10 +17,7 @@ get equal scores; empty tables give no rows. Labels without a document and other
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,7 +42,7 @@ class ByteNet:
     def __init__(self, seed: int = 5):
         rng = np.random.default_rng(seed)
         self.tables = rng.normal(0, 0.1, (WIDTH, 256, FILTERS)).astype(np.float32)
-        self.w1 = rng.normal(0, 0.3, (2 * FILTERS + 3, HIDDEN)).astype(np.float32)
+        self.w1 = rng.normal(0, 0.3, (2 * FILTERS, HIDDEN)).astype(np.float32)
         self.b1 = np.zeros(HIDDEN, np.float32)
         self.w2 = rng.normal(0, 0.3, HIDDEN).astype(np.float32)
         self.b2 = np.zeros(1, np.float32)
@@ -69,20 +66,10 @@ class ByteNet:
             out[k : k + BLOCK] = z.max(1)
         return np.maximum(out, 0), at
 
-    @staticmethod
-    def extras(c: np.ndarray) -> np.ndarray:
-        """Length in chunks, bytes of the first chunk used, and how often bytes come back at the distance that fits each chunk best."""
-        n = len(c)
-        lags = np.arange(4, 25)
-        matches = np.zeros(len(lags), np.int64)
-        for k in range(0, n, BLOCK):
-            part = c[k : k + BLOCK]
-            matches += [np.count_nonzero(part[:, lag:CHUNK] == part[:, : CHUNK - lag]) for lag in lags]
-        same = float((matches / (n * (CHUNK - lags))).max())
-        return np.array([np.log1p(n) / 3, float((c[0] != 0).mean()), 3 * same], np.float32)
-
-    def features(self, pooled: np.ndarray, extras: np.ndarray) -> np.ndarray:
-        return np.concatenate([pooled.max(0), pooled.mean(0), extras])
+    def features(self, c: np.ndarray) -> np.ndarray:
+        """The largest and the mean chunk value of each filter, over all chunks."""
+        pooled = self.pooled(c)[0]
+        return np.concatenate([pooled.max(0), pooled.mean(0)])
 
     def _head(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         h = np.tanh(x @ self.w1 + self.b1)
@@ -91,13 +78,31 @@ class ByteNet:
     def score(self, texts: list[str | None]) -> np.ndarray:
         if self.constant is not None:
             return np.full(len(texts), self.constant)
-        rows = []
-        for t in texts:
-            c = chunks(t)
-            rows.append(self.features(self.pooled(c)[0], self.extras(c)))
+        rows = [self.features(chunks(t)) for t in texts]
         return self._head(np.stack(rows))[1].astype(float) if rows else np.zeros(0)
 
-    def fit(self, all_chunks: list[np.ndarray], extra: list[np.ndarray], y: np.ndarray, epochs: int, rate: float = 0.004, batch: int = 64, seed: int = 7) -> ByteNet:
+    def gradients(self, all_chunks: list[np.ndarray], y: np.ndarray) -> list[np.ndarray]:
+        """Gradients of the mean logistic loss of some documents, one for each of the weights."""
+        c, counts = np.concatenate(all_chunks), np.array([len(x) for x in all_chunks])
+        starts = np.concatenate([[0], counts.cumsum()[:-1]])
+        pooled, at = self.pooled(c, where=True)
+        top = np.maximum.reduceat(pooled, starts)
+        x = np.concatenate([top, np.add.reduceat(pooled, starts) / counts[:, None].astype(np.float32)], 1)
+        h, p = self._head(x)
+        d = ((p - y) / len(y)).astype(np.float32)
+        dh = d[:, None] * self.w2 * (1 - h * h)
+        dx = dh @ self.w1.T
+        doc = np.repeat(np.arange(len(y)), counts)
+        largest = pooled == top[doc]
+        dm = dx[doc, FILTERS:] / counts[doc, None] + dx[doc, :FILTERS] * largest / np.add.reduceat(largest, starts, dtype=np.float32)[doc]
+        dm *= pooled > 0
+        g = np.zeros_like(self.tables)
+        f, rows = np.broadcast_to(np.arange(FILTERS), at.shape), np.arange(len(c))[:, None]
+        for j in range(WIDTH):
+            np.add.at(g[j], (c[rows, at + j], f), dm)
+        return [g, x.T @ dh, dh.sum(0), h.T @ d, d.sum(keepdims=True)]
+
+    def fit(self, all_chunks: list[np.ndarray], y: np.ndarray, epochs: int, rate: float = 0.004, batch: int = 64, seed: int = 7) -> ByteNet:
         if len(np.unique(y)) < 2:
             self.constant = float(y.mean()) if len(y) else 0.5
             return self
@@ -109,48 +114,28 @@ class ByteNet:
             order = rng.permutation(len(y))
             for lo in range(0, len(order), batch):
                 own = order[lo : lo + batch]
-                c = np.concatenate([all_chunks[i] for i in own])
-                counts = np.array([len(all_chunks[i]) for i in own])
-                starts = np.concatenate([[0], counts.cumsum()[:-1]])
-                pooled, at = self.pooled(c, where=True)
-                top = np.maximum.reduceat(pooled, starts)
-                x = np.concatenate([top, np.add.reduceat(pooled, starts) / counts[:, None], np.stack([extra[i] for i in own])], 1)
-                h, p = self._head(x)
-                d = ((p - y[own]) / len(own)).astype(np.float32)
-                dh = d[:, None] * self.w2 * (1 - h * h)
-                dx = dh @ self.w1.T
-                doc = np.repeat(np.arange(len(own)), counts)
-                dm = dx[doc, FILTERS : 2 * FILTERS] / counts[doc, None] + dx[doc, :FILTERS] * (pooled == top[doc])
-                dm *= pooled > 0
-                g = np.zeros_like(self.tables)
-                f = np.broadcast_to(np.arange(FILTERS), at.shape)
-                rows = np.arange(len(c))[:, None]
-                for j in range(WIDTH):
-                    np.add.at(g[j], (c[rows, at + j], f), dm)
                 step += 1
-                for w, gw, m, v in zip(self.weights, [g, x.T @ dh, dh.sum(0), h.T @ d, d.sum(keepdims=True)], first, second):
+                for w, gw, m, v in zip(self.weights, self.gradients([all_chunks[i] for i in own], y[own]), first, second):
                     m += 0.1 * (gw - m)
                     v += 0.001 * (gw * gw - v)
                     w -= (rate * (0.3 if epoch > 0.6 * epochs else 1)) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         return self
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 4_000, train_chunks: int = 12, epochs: int = 14) -> ByteNet:
-    """Learns from at most most_rows labelled documents."""
+def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 4_000, most_bytes: int = 64 << 20, epochs: int = 14) -> ByteNet:
+    """Learns from whole texts of at most most_rows labelled documents and most_bytes together, which come to the driver."""
     sample = labelled_sample(labels, "quality", most_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-
-    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            own = [chunks(t if isinstance(t, str) else None) for t in b["text"]]
-            few = [c[np.unique(np.linspace(0, len(c) - 1, min(len(c), train_chunks)).astype(int))].tobytes() for c in own]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "y": b["y"], "chunks": few, "extra": [ByteNet.extras(c).tolist() for c in own]})
-
-    schema = rows.select("doc_id", "y", F.lit(b"").alias("chunks"), F.array(F.lit(0.0)).alias("extra")).schema
-    got = rows.mapInPandas(spread, schema).toPandas().sort_values(["doc_id", "y", "chunks"], kind="stable")
-    read = [np.frombuffer(c, np.uint8).reshape(-1, CHUNK + WIDTH - 1) for c in got["chunks"]]
-    extra = [np.array(x, np.float32) for x in got["extra"]]
-    return ByteNet().fit(read, extra, got["y"].to_numpy(np.float32), epochs)
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select("doc_id", text.alias("text")).join(F.broadcast(sample), "doc_id")
+    sized = common.cut(rows.select("doc_id", "y", "text", F.xxhash64("doc_id").alias("at"), F.xxhash64("text").alias("th"), F.octet_length("text").alias("size")))
+    room, chosen = most_bytes, []
+    for r in sorted(sized.select("at", "doc_id", "th", "size").collect()):  # rows that repeat an id and its text count once
+        if r["size"] <= room and tuple(r) not in chosen[-1:]:
+            room -= r["size"]
+            chosen.append(tuple(r))
+    picked = docs.sparkSession.createDataFrame(chosen, "at long, doc_id long, th long, size int").select("doc_id", "th")
+    got = sized.join(F.broadcast(picked), ["doc_id", "th"]).dropDuplicates(["doc_id", "th"]).orderBy("at", "doc_id", "th").select("y", "text").collect()
+    return ByteNet().fit([chunks(r["text"]) for r in got], np.array([r["y"] for r in got], np.float32), epochs)
 
 
 def score(docs: DataFrame, model: ByteNet, text_col: str = "text", name: str = "score") -> DataFrame:

@@ -48,15 +48,65 @@ def test_classifiers_awkward(spark, awkward, nothing, module, label):
         assert sorted(module.score(awkward, model).columns) == sorted(awkward.columns)
 
 
-@pytest.mark.parametrize("n", [127, 128, 129, 700])
-def test_quality_repetition_reads_every_chunk(n):
-    rng = random.Random(n)
-    noise = lambda: "".join(chr(rng.randrange(33, 127)) for _ in range(quality.CHUNK))
-    same = lambda c: max(float((c[:, lag : quality.CHUNK] == c[:, : quality.CHUNK - lag]).mean()) for lag in range(4, 25))
-    for first in (0, 1):
-        text = "".join(noise() if k % 2 == first else "abcdefg " * (quality.CHUNK // 8) for k in range(n))
-        c = quality.chunks(text)
-        assert len(c) == n and quality.ByteNet.extras(c)[2] == pytest.approx(3 * same(c), rel=1e-6)
+def convolved(net, text):
+    """The network's features by definition: every window of the text's bytes, filled up with zeros to whole chunks."""
+    raw = (text or "").encode()
+    n = max(1, -(-len(raw) // quality.CHUNK))
+    raw += bytes(n * quality.CHUNK + quality.WIDTH - 1 - len(raw))
+    best = np.zeros((n, quality.FILTERS))
+    for k in range(n * quality.CHUNK):
+        value = sum(net.tables[j, raw[k + j]].astype(float) for j in range(quality.WIDTH))
+        best[k // quality.CHUNK] = np.maximum(best[k // quality.CHUNK], value)
+    return np.concatenate([best.max(0), best.mean(0)])
+
+
+@pytest.mark.parametrize("length", [0, 1, 127, 128, 129, 133, 5000, 128 * 300 + 1])
+def test_quality_reads_every_window(length):
+    rng, net = random.Random(length), quality.ByteNet(seed=3)
+    text = "".join(chr(rng.randrange(32, 127)) for _ in range(length))
+    assert net.features(quality.chunks(text)) == pytest.approx(convolved(net, text), abs=1e-4)
+    if length > 200:  # wherever a telling window stands, it is seen
+        net.tables[:, 1] = 50
+        for at in (0, length // 2, length - 6):
+            assert net.features(quality.chunks(text[:at] + "\1" * 6 + text[at + 6 :]))[0] == pytest.approx(300, rel=1e-3)
+
+
+def test_quality_gradients():
+    rng, net = random.Random(1), quality.ByteNet(seed=2)
+    texts = ["".join(chr(rng.randrange(97, 110)) for _ in range(n)) for n in (40, 700, 300, 0)] + ["ab " * 200]
+    parts, y = [quality.chunks(t) for t in texts], np.array([1, 0, 1, 0, 1], np.float32)
+
+    def loss():
+        p = net._head(np.stack([net.features(c) for c in parts]).astype(float))[1]
+        return -float(np.mean(y * np.log(p) + (1 - y) * np.log(1 - p)))
+
+    found = net.gradients(parts, y)
+    for w, g in zip(net.weights, found):
+        own = np.argsort(-np.abs(g).ravel())[:12]
+        for k in own.tolist():
+            at, step = np.unravel_index(k, w.shape), 2e-3
+            before = w[at]
+            w[at] = before + step
+            up = loss()
+            w[at] = before - step
+            down = loss()
+            w[at] = before
+            assert (up - down) / (2 * step) == pytest.approx(g[at], rel=0.1, abs=2e-3)
+
+
+def test_quality_learns_from_a_bounded_sample(spark):
+    rows = [(k, "x" * (10 if k % 2 else 4000)) for k in range(40)] + [(1, "x" * 10), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, quality int")
+    seen = []
+    fit = quality.ByteNet.fit
+    try:
+        quality.ByteNet.fit = lambda self, c, y, epochs: seen.append((c, y)) or fit(self, c, y, 1)
+        quality.fit(docs, labels, most_bytes=9000)
+    finally:
+        quality.ByteNet.fit = fit
+    (chunks, y), held = seen[0], {k for k in range(40) if zlib.crc32(str(k).encode()) % 5 == 0}
+    assert sum(y) == sum(k % 2 for k in range(40) if k not in held) + (3 not in held) and sum(len(c) > 1 for c in chunks) == 2
 
 
 def test_trees_and_isotonic():

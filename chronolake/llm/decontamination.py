@@ -1,23 +1,26 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
-Texts and test items are lower-cased and their runs of white space become one space. An item of m characters may be met with up to
-k = floor(rate * m) edits. It is cut into k + 1 pieces; k edits leave at least one piece whole, so that exact hits of pieces,
-found by one Aho-Corasick pass over each whole text, are all places to look at. There, Myers' bit-parallel algorithm finds the
-least edit distance of the item to any part of the text around it.
-
-Items are read in blocks of at most `block_chars` characters, one pass over the texts for each block: a benchmark of the usual
-size is one block, and a larger one needs more passes, never more memory.
-
-Cases: null and empty texts meet nothing; items with a null or blank text are left out, a null item id is
-reported as null, and items under `least_chars` characters must be
-met exactly, between word borders. Texts are searched whole. Equal items are reported each. Rows that repeat an id give rows each. Empty
+Texts and test items are brought to their words (runs of letters, digits and underscores, in lower case), with one space between
+words and at both ends. An item of m characters is met by a text that has a part within k = floor(rate * m) edits of it. One rule
+holds for all lengths; a part that begins or ends within a word of the text lacks the item's space there, which counts as an edit. The item is cut into
+k + 1 pieces; k edits leave at least one piece whole, so that exact hits of pieces, found by one Aho-Corasick pass over each whole text, are
+all places to look at. There, Myers' bit-parallel algorithm finds the least edit distance of the item to any part of the text.
+
+Items are read in blocks of at most `block_chars` characters, one pass over the texts for each block, whose results are stored before the
+next block is read: a benchmark of the usual size is one block, and a larger one needs more passes, never more memory. A worker process
+builds a block's automaton once.
+
+Cases: null and empty texts and texts without words meet nothing; items with a null text or without words are left out, a null item id is
+reported as null. Texts are searched whole. Equal items are reported each. Rows that repeat an id give rows each. Empty
 tables give no rows. Other columns are ignored, or kept by clean().
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+import re
+import uuid
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import pyarrow as pa
@@ -26,11 +29,14 @@ from pyspark.sql import functions as F
 
 from chronolake.llm import common
 
-RATE, LEAST_CHARS, BLOCK_CHARS = 0.08, 32, 8_000_000
+RATE, BLOCK_CHARS = 0.08, 8_000_000
+_WORDS = re.compile(r"\w+")
 
 
 def normal(text: str) -> str:
-    return " ".join(text.lower().split())
+    """The words of a text, a space before, between and after them; empty without words."""
+    found = " ".join(_WORDS.findall(text.lower()))
+    return f" {found} " if found else ""
 
 
 def _last_null(item_id: int | None) -> tuple[bool, int]:
@@ -41,10 +47,9 @@ def _last_null(item_id: int | None) -> tuple[bool, int]:
 class Pattern:
     """An item, its error budget and the bit masks of its characters."""
 
-    def __init__(self, item_id: int | None, text: str, rate: float, least_chars: int):
+    def __init__(self, item_id: int | None, text: str, rate: float):
         self.item_id, self.text = item_id, text
-        self.budget = math.floor(rate * len(text) + 1e-9) if len(text) >= least_chars else 0
-        self.short = len(text) < least_chars
+        self.budget = math.floor(rate * len(text) + 1e-9)
         self._masks: dict[str, int] | None = None
         self._reversed: dict[str, int] | None = None
 
@@ -96,8 +101,8 @@ def nearest(masks: dict[str, int], m: int, text: str, anchored: bool = False) ->
 
 
 class Matcher:
-    def __init__(self, items: list[tuple[int | None, str]], rate: float, least_chars: int):
-        self.patterns = [Pattern(i, t, rate, least_chars) for i, t in items if t]
+    def __init__(self, items: list[tuple[int | None, str]], rate: float):
+        self.patterns = [Pattern(i, t, rate) for i, t in items if t]
         self.automaton = ahocorasick.Automaton()
         by_piece: dict[str, list[tuple[int, int]]] = {}
         for k, p in enumerate(self.patterns):
@@ -120,11 +125,6 @@ class Matcher:
         for k, starts in places.items():
             p = self.patterns[k]
             m, budget = len(p.text), p.budget
-            if p.short:
-                at = next((s for s in sorted(starts) if not text[max(0, s - 1) : s].isalnum() and not text[s + m : s + m + 1].isalnum()), None)
-                if at is not None:
-                    out.append((p.item_id, 0, at, at + m))
-                continue
             at = text.find(p.text)
             if at >= 0:
                 out.append((p.item_id, 0, at, at + m))
@@ -161,21 +161,36 @@ def blocks(items: DataFrame, id_col: str, text_col: str, block_chars: int) -> It
         yield sorted(((r["item_id"], normal(r["text"])) for r in own), key=lambda i: (_last_null(i[0]), i[1]))
 
 
-def matches(
-    docs: DataFrame,
-    items: DataFrame,
-    rate: float = RATE,
-    least_chars: int = LEAST_CHARS,
-    block_chars: int = BLOCK_CHARS,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-) -> DataFrame:
+_matchers: dict[str, Matcher] = {}
+
+
+def _matcher(name: str, some: list[tuple[int | None, str]], rate: float) -> Matcher:
+    """The block's matcher, built once in a worker process, which keeps that of one block."""
+    if name not in _matchers:
+        _matchers.clear()
+        _matchers[name] = Matcher(some, rate)
+    return _matchers[name]
+
+
+def _block_by_block(items: DataFrame, block_chars: int, once: Callable[[DataFrame | None, list], DataFrame]) -> DataFrame:
+    """once(what the blocks before gave, block) for every block; with several, each result is stored, so that no plan holds two blocks."""
+    made, last = None, None
+    for some in blocks(items, "item_id", "text", block_chars):
+        if last is not None:
+            made = common.store(once(made, last), "decontaminated")
+        last = some
+    return once(made, last) if made is None else common.store(once(made, last), "decontaminated")
+
+
+def matches(docs: DataFrame, items: DataFrame, rate: float = RATE, block_chars: int = BLOCK_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document and item that it holds: doc_id, item_id, distance, start, end (characters of the normalised text)."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
-    def search(some: list[tuple[int | None, str]]):
+    def once(before: DataFrame | None, some: list[tuple[int | None, str]]) -> DataFrame:
+        name = uuid.uuid4().hex
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(some, rate, least_chars)
+            matcher = _matcher(name, some, rate)
             for b in common.sliced(batches):
                 out = [(d, *hit) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if t for hit in matcher.find(normal(t))]
                 cols = list(zip(*out)) or [()] * 5
@@ -183,28 +198,28 @@ def matches(
                 kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=names)
 
-        return rows.mapInArrow(run, "doc_id long, item_id long, distance int, start long, end long")
+        found = rows.mapInArrow(run, "doc_id long, item_id long, distance int, start long, end long")
+        return found if before is None else before.unionByName(found)
 
-    out = None
-    for some in blocks(items, "item_id", "text", block_chars):
-        found = search(some)
-        out = found if out is None else out.unionByName(found)
-    return out
+    return _block_by_block(items, block_chars, once)
 
 
-def clean(docs: DataFrame, items: DataFrame, rate: float = RATE, least_chars: int = LEAST_CHARS, block_chars: int = BLOCK_CHARS, text_col: str = "text") -> DataFrame:
+def clean(docs: DataFrame, items: DataFrame, rate: float = RATE, block_chars: int = BLOCK_CHARS, text_col: str = "text") -> DataFrame:
     """The rows of docs whose texts meet no item."""
-    for some in blocks(items, "item_id", "text", block_chars):
 
-        def keep(batches: Iterator[pa.RecordBatch], some: list[tuple[int | None, str]] = some) -> Iterator[pa.RecordBatch]:
+    def once(before: DataFrame | None, some: list[tuple[int | None, str]]) -> DataFrame:
+        name = uuid.uuid4().hex
+
+        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             common.frugal()
-            matcher = Matcher(some, rate, least_chars)
+            matcher = _matcher(name, some, rate)
             for b in common.sliced(batches):
                 texts = b.column(b.schema.get_field_index(text_col)).to_pylist()
                 yield b.filter(pa.array([not t or not matcher.find(normal(t)) for t in texts], pa.bool_()))
 
-        docs = docs.mapInArrow(keep, docs.schema)
-    return docs
+        return (docs if before is None else before).mapInArrow(keep, docs.schema)
+
+    return _block_by_block(items, block_chars, once)
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

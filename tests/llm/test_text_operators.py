@@ -394,7 +394,7 @@ def distance(p, t):
 
 def test_decontamination_against_brute_force(spark):
     rng = random.Random(6)
-    items = [(k, "".join(rng.choice("abcdefghij ") for _ in range(rng.randint(20, 90)))) for k in range(12)] + [(90, None), (91, "  "), (92, items_text := "short one")]
+    items = [(k, "".join(rng.choice("abcdefghij ") for _ in range(rng.randint(4, 90)))) for k in range(12)] + [(90, None), (91, "  "), (92, items_text := "short one")]
     rows = []
     for d in range(90):
         p = list(rng.choice(items[:12])[1])
@@ -411,11 +411,7 @@ def test_decontamination_against_brute_force(spark):
             if not t or not p or not decontamination.normal(p):
                 continue
             n, q = decontamination.normal(t), decontamination.normal(p)
-            if len(q) < decontamination.LEAST_CHARS:
-                k = n.find(q)
-                if k >= 0 and not n[max(0, k - 1) : k].isalnum() and not n[k + len(q) : k + len(q) + 1].isalnum():
-                    want[d, i, 0] += 1
-            elif (e := distance(q, n)) <= int(decontamination.RATE * len(q) + 1e-9):
+            if (e := distance(q, n)) <= int(decontamination.RATE * len(q) + 1e-9):
                 want[d, i, e] += 1
     for block in (8_000_000, 300):
         got = decontamination.matches(docs, given, block_chars=block).collect()
@@ -437,12 +433,21 @@ def test_items_without_an_id_are_met(spark):
         assert [r["doc_id"] for r in kept.collect()] == [3]
 
 
+def test_short_items_need_their_words(spark):
+    items = spark.createDataFrame([(1, "ask"), (2, "What is it?"), (3, "the old mill")], "item_id long, text string")
+    texts = ["a mask", "Ask!", "what-is it", "whatisit", "the cold mill", "the oldd mill", "bathe old millers", None, "?!"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted((r["doc_id"], r["item_id"], r["distance"]) for r in decontamination.matches(docs, items).collect())
+    # " the old mill " has 14 characters, so that one edit is free
+    assert got == [(1, 1, 0), (2, 2, 0), (4, 3, 1), (5, 3, 1)]
+
+
 def test_myers_finds_part_and_distance():
     rng = random.Random(3)
     for _ in range(200):
         p = "".join(rng.choice("abc ") for _ in range(rng.randint(1, 70)))
         t = "".join(rng.choice("abc ") for _ in range(rng.randint(0, 90)))
-        d, a, b = decontamination.Pattern(1, p, 0.1, 1).best(t)
+        d, a, b = decontamination.Pattern(1, p, 0.1).best(t)
         assert d == distance(p, t) and distance(p, t[a:b]) == d
 
 

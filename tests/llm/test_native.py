@@ -1,6 +1,7 @@
 """Exact deduplication, mixing, license scans and sharding."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -190,32 +191,92 @@ def test_flow_moves_the_least():
         sharding.min_cost_flow([5], [4], [[0]])
 
 
-def test_resharding(spark, root):
-    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), (F.col("id") % 50).cast("int")).alias("text"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("s"), F.col("id") % 7)).alias("source"))
-    plan = sharding.Resharding(docs, sharding.by_source(F.col("source"), 16), 16, 16)
-    rows = plan.assigned().collect()
-    assert sorted(r["doc_id"] for r in rows) == list(range(4000))
-    sizes, slots = Counter(), defaultdict(list)
+def placed_by_brute_force(rows, moves, n_old):
+    """doc -> new shard of rows (shard, block, doc, size) in the order of shards, blocks and places: where a document's midpoint lies."""
+    out, at = {}, Counter()
+    for shard, doc, size in rows:
+        edge, to = 0, None
+        for j in sorted(range(len(moves[shard])), key=lambda j: (j != shard, j)):
+            edge += moves[shard][j]
+            if moves[shard][j] and (to is None or 2 * at[shard] + size >= 2 * begin):
+                to = j
+            begin = edge
+        out[doc] = to
+        at[shard] += size
+    return out
+
+
+@pytest.mark.parametrize(("n_old", "n_new"), [(12, 16), (5, 3), (1, 4), (4, 4)])
+def test_resharding_against_brute_force(spark, root, monkeypatch, n_old, n_new):
+    monkeypatch.setattr(sharding, "LEAST_BYTES", 300)
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("é"), F.when(F.col("id") % 97 == 0, 900).otherwise(F.col("id") % 25).cast("int")).alias("text"))
+    layout = sharding.Layout.write(docs, f"{root}/s", F.when(F.col("doc_id") % 3 == 0, 0).otherwise(F.col("doc_id") % n_old), n_old)
+    before = layout._files().select("shard", "block", "nth", F.col("doc.doc_id").alias("d"), "size").orderBy("shard", "block", "nth").collect()
+    assert len(before) == 3000 and all(r["size"] == 1 + 2 * (900 if r["d"] % 97 == 0 else r["d"] % 25) for r in before)
+    plan = sharding.Resharding(layout, n_new)
+    want = placed_by_brute_force([(r["shard"], r["d"], r["size"]) for r in before], plan.moves, n_old)
+    untouched = {f"{root}/s/blocks/shard={b.shard}/block={b.block}" for b in plan.stay}
+    stamps = {p: sorted((f, os.path.getmtime(f"{p}/{f}")) for f in os.listdir(p)) for p in untouched}
+    after = plan.rewrite()
+    rows = after.read().select(F.col("doc.doc_id").alias("d"), "shard", "slot", "size", "crc", "doc.text").collect()
+    assert {r["d"]: r["shard"] for r in rows} == want and len(rows) == 3000
+    assert all(r["crc"] == zlib.crc32(r["text"].encode()) and r["size"] == len(r["text"].encode()) + 1 for r in rows)
+    slots, sizes = defaultdict(list), Counter()
     for r in rows:
-        assert r["_size"] == len(r["text"]) + 1 and r["_crc"] == zlib.crc32(r["text"].encode())
-        sizes[r["_shard"]] += r["_size"]
-        slots[r["_shard"]].append(r["_slot"])
-    assert set(sizes) == set(range(16)) and max(sizes.values()) - min(sizes.values()) <= 4 * 51
-    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
-    path = plan.rewrite(f"{root}/s", everything=True)
-    before = {r["doc_id"]: r["_shard"] for r in rows}
-    # A second plan from the new layout to smaller capacities of two shards rewrites only shards that change.
-    back = spark.read.parquet(path).withColumnRenamed("_shard", "was").select("doc_id", "text", "was")
-    again = sharding.Resharding(back, F.col("was"), 16, 16, capacity=[s + (k == 2) * 500 - (k == 5) * 500 for k, s in sorted(sizes.items())])
-    assert again.affected == [2, 5] and again.moved_bytes == 500
-    moved = [r for r in again.assigned().collect() if r["_shard"] != before[r["doc_id"]]]
-    assert moved and all(before[r["doc_id"]] == 5 and r["_shard"] == 2 for r in moved)
-    again.rewrite(path)
-    assert spark.read.parquet(path).select("doc_id").distinct().count() == 4000
-
-
-def test_resharding_awkward(awkward, nothing):
-    plan = sharding.Resharding(awkward, sharding.by_source(F.col("source"), 16), 16, 16)
-    rows = plan.assigned().collect()
-    assert len(rows) == 10 and {r["doc_id"]: r["_size"] for r in rows}[2] == 1
-    assert sharding.Resharding(nothing, sharding.by_source(F.col("source"), 16), 16, 16).assigned().count() == 0
+        slots[r["shard"]].append(r["slot"])
+        sizes[r["shard"]] += r["size"]
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and [sizes[k] for k in range(n_new)] == after.sizes
+    assert max(abs(sizes[k] - c) for k, c in enumerate(plan.capacity)) <= 1801 * n_old
+    # Blocks that stay were not written again, and all others are gone.
+    assert stamps == {p: sorted((f, os.path.getmtime(f"{p}/{f}")) for f in os.listdir(p)) for p in untouched}
+    assert {(int(s[6:]), int(b[6:])) for s in os.listdir(f"{root}/s/blocks") if s.startswith("shard") for b in os.listdir(f"{root}/s/blocks/{s}")} == {b[:2] for b in after.blocks}
+    opened = sharding.Layout.open(spark, f"{root}/s")
+    assert opened.blocks == after.blocks and opened.n_shards == n_new and opened.read().schema == after.read().schema
+    # Resharding to what stands there moves nothing.
+    assert sharding.Resharding(opened, n_new, capacity=opened.sizes).affected == []
+
+
+def test_resharding_touches_two_shards_only(spark, root):
+    docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.lit("some words").alias("text"))
+    layout = sharding.Layout.write(docs, f"{root}/s", F.col("doc_id") % 8, 8)
+    plan = sharding.Resharding(layout, 8, capacity=[s + (k == 2) * 330 - (k == 5) * 330 for k, s in enumerate(layout.sizes)])
+    assert plan.moved_bytes == 330 and {b.shard for b in plan.affected} == {5} and plan.stay
+    before = {r["d"]: r["shard"] for r in layout.read().select(F.col("doc.doc_id").alias("d"), "shard").collect()}
+    moved = [r for r in plan.rewrite().read().select(F.col("doc.doc_id").alias("d"), "shard").collect() if r["shard"] != before[r["d"]]]
+    assert len(moved) == 30 and all(before[r["d"]] == 5 and r["shard"] == 2 for r in moved)
+
+
+@pytest.mark.parametrize("step", ["moved blocks", "manifest", "deletion"])
+def test_resharding_that_dies_leaves_one_layout(spark, root, monkeypatch, step):
+    docs = spark.range(500).select(F.col("id").alias("doc_id"), F.lit("some words").alias("text"))
+    layout = sharding.Layout.write(docs, f"{root}/s", F.col("doc_id") % 3, 3)
+
+    def die(*_, **__):
+        raise RuntimeError(step)
+
+    with monkeypatch.context() as m:
+        if step == "manifest":
+            m.setattr(sharding.Layout, "_save", die)
+        elif step == "deletion":
+            m.setattr(sharding.Files, "delete", die)
+        else:
+            m.setattr(sharding.Resharding, "_inside", staticmethod(die))
+        with pytest.raises(RuntimeError):
+            sharding.Resharding(layout, 4).rewrite()
+    found = sharding.Layout.open(spark, f"{root}/s")
+    assert found.n_shards == (4 if step == "deletion" else 3)
+    assert sorted(r["d"] for r in found.read().select("doc.doc_id").toDF("d").collect()) == list(range(500))
+    if step != "deletion":  # tried again
+        again = sharding.Resharding(found, 4).rewrite().read()
+        assert sorted(r["d"] for r in again.select("doc.doc_id").toDF("d").collect()) == list(range(500))
+
+
+def test_resharding_awkward(spark, awkward, nothing, root):
+    for name in ("shard", "block", "slot", "nth", "at", "doc", "crc", "id", "part", "_old"):
+        awkward = awkward.withColumn(name, F.lit(name))
+    rows = sharding.resharded(awkward, f"{root}/a", 3, 4).collect()
+    assert len(rows) == 10 and {r["doc"]["doc_id"]: r["size"] for r in rows}[2] == 1
+    assert all(r["doc"]["at"] == "at" and r["doc"]["shard"] == "shard" for r in rows)
+    empty = sharding.resharded(awkward.where("false"), f"{root}/n", 3, 4)
+    assert empty.count() == 0 and empty.schema["doc"].dataType.names == awkward.columns
+    assert sharding.Layout.open(spark, f"{root}/n").n_shards == 4

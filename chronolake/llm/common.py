@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import sys
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Characters that part words, as a regular expression class of Java, RE2 and Python.
 BLANK = r"[\x20\x09-\x0D]"
@@ -50,15 +52,39 @@ _scratched: list[str] = []
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder; sweep() removes it."""
-    _scratched.append(f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}")
-    return _scratched[-1]
+    return _noted(f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}")
 
 
-def sweep(spark: SparkSession) -> None:
-    """Deletes what stands under scratch paths of this process: to be called when no result is read any more."""
-    while _scratched:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_scratched.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def _noted(path: str) -> str:
+    if not _scratched:
+        atexit.register(_sweep_at_exit)
+    _scratched.append(path)
+    return path
+
+
+def mark() -> int:
+    """How many intermediate tables there are by now: those that come later are what sweep(since=) deletes."""
+    return len(_scratched)
+
+
+def sweep(spark: SparkSession, since: int = 0, keep: Iterable[str] = ()) -> None:
+    """Deletes the intermediate tables and checkpoints of this process, but for those kept: to be called when no result is read from them any more."""
+    kept = [path for path in _scratched[since:] if path in keep]
+    for path in _scratched[since:]:
+        if path not in kept:
+            own = spark._jvm.org.apache.hadoop.fs.Path(path)
+            own.getFileSystem(spark._jsc.hadoopConfiguration()).delete(own, True)
+    _scratched[since:] = kept
+
+
+def _sweep_at_exit() -> None:
+    """What nobody has swept goes with the process, if its session still runs."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        try:
+            sweep(spark)
+        except Exception as error:  # the session may stop meanwhile; files that stay do no harm
+            print(f"intermediate tables are left: {error}", file=sys.stderr)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -67,7 +93,13 @@ def cut(df: DataFrame) -> DataFrame:
     shared_dir(spark)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    held = out._jdf.queryExecution().logical()
+    if held.nodeName().startswith("Scan ExistingRDD") or held.getClass().getSimpleName() == "LogicalRDD":
+        path = held.rdd().getCheckpointFile()
+        if path.isDefined():
+            _noted(path.get())
+    return out
 
 
 def store(df: DataFrame, name: str) -> DataFrame:
@@ -77,10 +109,50 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, most_rows: int, rows: int | None = None) -> DataFrame:
-    """df with a broadcast hint if it has at most so many rows; else as it is, for a shuffled join."""
-    n = df.count() if rows is None else rows
-    return F.broadcast(df) if n <= most_rows else df
+#: Bytes up to which a table is broadcast.
+BROADCAST_BYTES = 16 << 20
+
+
+def _bytes(name: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, T.StructType):
+        return sum((_bytes(name[f.name], f.dataType) for f in kind), F.lit(0).cast("long"))
+    if isinstance(kind, T.StringType | T.BinaryType):
+        return F.coalesce(F.octet_length(name), F.lit(0)).cast("long") + 8
+    if isinstance(kind, T.ArrayType):
+        return F.greatest(F.size(name), F.lit(0)).cast("long") * 8 + 8
+    return F.lit(8).cast("long")
+
+
+def small(df: DataFrame, most_bytes: int | None = None) -> DataFrame:
+    """df with a broadcast hint if its values take at most so many bytes; else as it is, for a shuffled join. df should be stored: it is read for this."""
+    size = df.select(_bytes(F.struct(*[F.col(f"`{c}`") for c in df.columns]), df.schema).alias("n")).agg(F.sum("n")).first()[0] or 0
+    return F.broadcast(df) if size <= (BROADCAST_BYTES if most_bytes is None else most_bytes) else df
+
+
+#: Keys that are joined map-side at most: those of which each holds over 1/HEAVY of the rows.
+HEAVY = 4096
+
+
+def join_by_key(rows: DataFrame, table: DataFrame, key: str, count: str, total: int, how: str = "inner") -> DataFrame:
+    """rows joined with a table of one row per key, whose column `count` tells how many rows (of `total`) have the key; that column goes.
+
+    Rows of a key that holds over 1/HEAVY of all are joined map-side with that key's row, HEAVY rows at most; all others meet in a shuffle,
+    where no key is large. how: inner or left_semi, or left for rows whose key may be missing from the table.
+    """
+    frequent = F.col(count) * HEAVY > F.lit(total)
+    heavy = cut(table.where(frequent).drop(count))
+    light = table.where(~frequent).drop(count)
+    one = rows.join(F.broadcast(heavy), key, "inner" if how == "left" else how)
+    rest = rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(light, key, how)
+    return one.unionByName(rest.select(one.columns))
+
+
+def fresh(name: str, *frames: DataFrame) -> str:
+    """A column name that none of the frames has."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def held_out(doc_id: Column) -> Column:

@@ -36,38 +36,53 @@ class Forest:
         return [(x, r) for x in list(self.parent) if (r := self.root(x)) != x]
 
 
+#: Nodes that a task's forest holds before it is given out.
+MOST_NODES = 1_000_000
+
+
 def _contracted(edges: DataFrame) -> DataFrame:
-    """Each partition's edges as stars: no more rows than it has nodes."""
+    """Each partition's edges as stars, forest after forest: no more rows than these have nodes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = Forest()
+
+        def stars() -> Iterator[pa.RecordBatch]:
+            found = np.array(forest.stars(), np.int64).reshape(-1, 2)
+            forest.parent.clear()
+            for lo in range(0, len(found), 50_000):
+                part = found[lo : lo + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array(part[:, 0]), pa.array(part[:, 1])], names=["u", "v"])
+
         for b in batches:
             for a, z in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 forest.join(a, z)
-        stars = np.array(forest.stars(), np.int64).reshape(-1, 2)
-        for lo in range(0, len(stars), 50_000):
-            part = stars[lo : lo + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part[:, 0]), pa.array(part[:, 1])], names=["u", "v"])
+            if len(forest.parent) > MOST_NODES:
+                yield from stars()
+        yield from stars()
 
     return edges.select("u", "v").mapInArrow(run, "u long, v long")
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """node and component (its smallest node) of every node of the edges (u, v) that isn't alone."""
-    now = common.cut(_contracted(edges.where("u <> v").repartition("v")).distinct())
-    signed = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
-    if not signed[0]:
-        return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    for _ in range(most_rounds):
+    """node and component (its smallest node) of every node of the edges (u, v) that isn't alone.
+
+    Tables of least neighbours are stored before they are joined, so that both sides of a join are plain shuffles, which adaptive
+    execution splits where a node has very many neighbours.
+    """
+    now = common.cut(_contracted(edges.where("u <> v")).distinct())
+    size = now.count()
+    for _ in range(most_rounds if size else 0):
         # Large star: every node's larger neighbours go to its smallest neighbour or itself.
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        least = common.cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+        large = common.cut(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v"))
         # Small star: a node and its smaller neighbours go to the smallest of them.
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = common.cut(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u <> v")
-        now = common.cut(small.distinct())
-        before, signed = signed, now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
-        if before == signed:
+        before, now = now, common.cut(small.distinct())
+        was, size = size, now.count()
+        if was == size and now.join(before, ["u", "v"], "left_anti").isEmpty():
             return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    raise RuntimeError("the components did not settle")
+    if size:
+        raise RuntimeError("the components did not settle")
+    return now.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -3,16 +3,19 @@
 A document's set holds the 64-bit hashes of its distinct word shingles. Two sets link when their Jaccard similarity reaches the
 threshold. The join is exact; what it skips cannot link:
 
-1. One pass makes every set's size and 128-bit key, and counts all shingles in a table of fixed size by hash cell. Sets with equal
-   keys are one class, of which the smallest id stands for all. Up to the join, classes go by 64 bits of their key, not by an id,
-   as an id may have several sets; two keys that share these bits only meet needlessly.
+1. One pass makes every set's size and 128-bit key, and counts all shingles in a table by hash cell, whose size follows the input's
+   up to 2**24 cells. Sets with equal keys are one class, of which the smallest id stands for all; keys that hold many rows are joined
+   map-side. Up to the join, classes go by 64 bits of their key, not by an id, as an id may have several sets; two keys that share these
+   bits only meet needlessly.
 2. Shingles are ordered by the count of their cell, then by hash; any common order is right, and this one puts frequent shingles
    last. Two linked sets of sizes n and m have at least l of their first n - ceil(t n) + l (m - ceil(t m) + l) shingles in
    common. These prefixes, with l = size // 10, meet in one shuffle by shingle; a set whose prefix has fewer than l shingles that
    any other set's prefix has is settled: it links with nothing. Shingles of hot cells need no meeting, they count as common.
-3. Sets that remain are tied by stars around each common prefix shingle; the components of these ties are groups that hold all
-   links. Groups are joined one by one; a group over `BLOCK` sets is dealt in blocks, and each pair of blocks is joined apart,
-   so that no task has to hold more than two blocks.
+3. Sets that remain are dealt to bands of length, each set to its own and the next longer one, so that linked sets share the longer
+   one's band. Within a band, sets are tied by stars around each common prefix shingle; the components of these ties are groups that hold all
+   links. Groups are joined one by one. In a group of over `BLOCK` sets, each set is first held against one of them, by the group's
+   smallest hash; those that link with it are of one component and need no comparison among themselves. The group is dealt in blocks,
+   and only pairs of blocks of which one holds other sets are joined, each apart, so that no task has to hold more than two blocks.
 4. Within a group, sets are taken by size. An index on prefix shingles holds, for each list, blocks of positions with the largest
    number of shingles that can follow; blocks that cannot reach the needed overlap are skipped (index-level skipping). The overlaps of a set
    with all others are derived from those of the most similar set computed before, by the lists of the shingles in which the two
@@ -20,6 +23,9 @@ threshold. The join is exact; what it skips cannot link:
 
 Only a spanning forest of each group's links leaves it, and components are made of these.
 
+Words and shingles are known by 64-bit hashes, which are not compared with the text: two shingles of one document fall together with
+a chance of their number squared over 2**65, under 10**-9 for 100,000 words, which would make its set smaller by one.
+
 Cases: null texts and texts without words have the empty set, which links with nothing; with fewer words than a shingle, the
 whole sequence is the only one. Texts are read whole. Rows that repeat an id are one document, linked by any of its texts. Rows with
 a null id link with nothing and have a null component. An empty table gives no rows. Other columns are ignored.
@@ -28,11 +34,11 @@ a null id link with nothing and have a null component. An empty table gives no r
 from __future__ import annotations
 
 import hashlib
+import math
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -40,8 +46,8 @@ from pyspark.sql import functions as F
 from chronolake.llm import common, graph, textops
 
 SHINGLE, PERCENT = 5, 75
-#: Cells of the frequency table and its parts.
-CELL_BITS, PARTS = 20, 64
+#: Cells of the frequency table, by the input: so many bytes of text a cell, at least and at most so many cells. Parts of the table.
+CELL_BYTES, LEAST_BITS, MOST_BITS, PARTS = 512, 20, 24, 64
 #: A cell is hot when its count is over this and over so many times the mean.
 HOT, HOT_MEANS = 1000, 8
 #: Sets of a group that one task joins at once.
@@ -50,16 +56,22 @@ BLOCK = 1000
 PRUNINGS = 3
 #: Positions in a block of an index list.
 POSITIONS = 8
-#: Ids up to which a list of documents is broadcast.
-BROADCAST_IDS = 1_000_000
+#: Parts in which a large group is held against its first set.
+SALTS = 32
 
 
 def _needed(n: np.ndarray | int, percent: int):
     return -(-np.asarray(n) * percent // 100)
 
 
-def _cells(tokens: np.ndarray) -> np.ndarray:
-    return (tokens >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+def _bits(rows: DataFrame) -> int:
+    """Bits of a cell's number, by the bytes of all texts."""
+    total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    return min(MOST_BITS, max(LEAST_BITS, (int(total) // CELL_BYTES).bit_length()))
+
+
+def _cells(tokens: np.ndarray, bits: int) -> np.ndarray:
+    return (tokens >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def _key(s: np.ndarray) -> bytes:
@@ -82,52 +94,61 @@ def _sets(texts: pa.Array, size: int) -> Iterator[tuple[int, np.ndarray]]:
             yield at + k, np.unique(textops.shingle_hashes(words.hashes[words.first[k] : words.first[k + 1]], size))
 
 
-def _summaries(rows: DataFrame, size: int) -> DataFrame:
+def _summaries(rows: DataFrame, size: int, bits: int) -> DataFrame:
     """Rows of two kinds: (doc_id, n, key) of a document, and (part, counts) of the frequency table from a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.frugal()
-        counts = np.zeros(1 << CELL_BITS, np.uint32)
+        counts, tokens, held = np.zeros(1 << bits, np.uint32), [], 0
         names = ["doc_id", "n", "key", "part", "counts"]
+
+        def add() -> None:
+            if tokens:
+                counts[:] += np.bincount(np.concatenate(tokens), minlength=1 << bits).astype(np.uint32)
+                tokens.clear()
+
         for b in batches:
-            n, keys, tokens = [], [], []
+            n, keys = [], []
             for _, s in _sets(b.column(1), size):
                 n.append(len(s))
                 keys.append(_key(s))
-                tokens.append(_cells(s))
-                if len(tokens) == 512:
-                    counts += np.bincount(np.concatenate(tokens), minlength=1 << CELL_BITS).astype(np.uint32)
-                    tokens.clear()
-            if tokens:
-                counts += np.bincount(np.concatenate(tokens), minlength=1 << CELL_BITS).astype(np.uint32)
+                tokens.append(_cells(s, bits))
+                held += len(s)
+                if held > 1 << bits - 2:
+                    add()
+                    held = 0
             none = pa.nulls(len(b), pa.int32())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), none, pa.nulls(len(b), pa.binary())], names=names)
-        parts = [zlib.compress(p.tobytes(), 1) for p in np.split(counts, PARTS)]
-        yield pa.RecordBatch.from_arrays(
-            [pa.nulls(PARTS, pa.int64()), pa.nulls(PARTS, pa.int64()), pa.nulls(PARTS, pa.binary()), pa.array(range(PARTS), pa.int32()), pa.array(parts, pa.binary())], names=names
-        )
+        add()
+        for part, own in enumerate(np.split(counts, PARTS)):
+            if own.any():
+                held = [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([part], pa.int32()), pa.array([zlib.compress(own.tobytes(), 1)], pa.binary())]
+                yield pa.RecordBatch.from_arrays(held, names=names)
 
     return common.store(rows.mapInArrow(run, "doc_id long, n long, key binary, part int, counts binary"), "jaccard-sets")
 
 
-def _frequencies(summaries: DataFrame) -> np.ndarray:
-    """The summed table: 2**CELL_BITS counts, whatever the input's size."""
+def _frequencies(summaries: DataFrame, bits: int) -> np.ndarray:
+    """The summed table: 2**bits counts, the largest 2**32 - 1."""
+    cells = (1 << bits) // PARTS
 
-    def add(key: tuple, some: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros((1 << CELL_BITS) // PARTS, np.uint64)
-        for c in some["counts"]:
-            total += np.frombuffer(zlib.decompress(c), np.uint32)
-        return pd.DataFrame({"part": [key[0]], "counts": [total.astype("<u8").tobytes()]})
+    def add(keys: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(cells, np.uint64)
+        for b in batches:
+            for c in b.column(1).to_pylist():
+                total += np.frombuffer(zlib.decompress(c), np.uint32)
+        total = np.minimum(total, 2**32 - 1).astype("<u4")
+        yield pa.RecordBatch.from_arrays([pa.array([keys[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["part", "counts"])
 
-    rows = summaries.where("part is not null").select("part", "counts").groupBy("part").applyInPandas(add, "part int, counts binary").collect()
-    table = np.zeros((PARTS, (1 << CELL_BITS) // PARTS), np.uint64)
+    rows = summaries.where("part is not null").select("part", "counts").groupBy("part").applyInArrow(add, "part int, counts binary").collect()
+    table = np.zeros((PARTS, cells), np.uint32)
     for r in rows:
-        table[r["part"]] = np.frombuffer(r["counts"], "<u8")
+        table[r["part"]] = np.frombuffer(r["counts"], "<u4")
     return table.ravel()
 
 
-def _prefixes(rows: DataFrame, size: int, percent: int, table) -> DataFrame:
-    """token, short, need, hot: the prefixes' shingles. A set that a task has met already is not given twice."""
+def _prefixes(rows: DataFrame, size: int, percent: int, table, bits: int) -> DataFrame:
+    """token, short, n, hot: the prefixes' shingles and the set's size. A set that a task has met already is not given twice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.frugal()
@@ -136,16 +157,16 @@ def _prefixes(rows: DataFrame, size: int, percent: int, table) -> DataFrame:
         met: set[int] = set()
         for b in batches:
             ids = b.column(0).to_pylist()
-            tokens, owners, needs = [], [], []
+            tokens, owners, sizes = [], [], []
 
             def flush() -> pa.RecordBatch:
                 t = np.concatenate(tokens)
                 lengths = [len(x) for x in tokens]
                 out = pa.RecordBatch.from_arrays(
-                    [pa.array(textops.signed(t)), pa.array(np.repeat(np.array(owners, np.int64), lengths)), pa.array(np.repeat(np.array(needs, np.int32), lengths)), pa.array(counts[_cells(t)] > limit)],
-                    names=["token", "short", "need", "hot"],
+                    [pa.array(textops.signed(t)), pa.array(np.repeat(np.array(owners, np.int64), lengths)), pa.array(np.repeat(np.array(sizes, np.int32), lengths)), pa.array(counts[_cells(t, bits)] > limit)],
+                    names=["token", "short", "n", "hot"],
                 )
-                tokens.clear(), owners.clear(), needs.clear()
+                tokens.clear(), owners.clear(), sizes.clear()
                 return out
 
             for k, s in _sets(b.column(1), size):
@@ -157,47 +178,50 @@ def _prefixes(rows: DataFrame, size: int, percent: int, table) -> DataFrame:
                     continue
                 if len(met) < 200_000:
                     met.add(short)
-                need = int(_needed(n, percent))
-                length = n - need + max(1, n // 10)
-                order = np.lexsort((s, counts[_cells(s)]))
+                length = n - int(_needed(n, percent)) + max(1, n // 10)
+                order = np.lexsort((s, counts[_cells(s, bits)]))
                 tokens.append(s[order[:length]])
                 owners.append(short)
-                needs.append(max(1, need // 10))
+                sizes.append(n)
                 if len(owners) == 1024:
                     yield flush()
             if owners:
                 yield flush()
 
-    return rows.mapInArrow(run, "token long, short long, need int, hot boolean")
+    return rows.mapInArrow(run, "token long, short long, n int, hot boolean")
 
 
-def _enough(rows: DataFrame) -> DataFrame:
-    """short of the sets with as many common prefix shingles as a link needs."""
-    return rows.groupBy("short").agg(F.count(F.lit(1)).alias("have"), F.min("need").alias("least")).where("have >= least").select("short")
+def _enough(rows: DataFrame, percent: int, *keys: str) -> DataFrame:
+    """The sets (by keys) with as many common prefix shingles as a link needs."""
+    least = F.greatest(F.lit(1), F.floor(F.ceil(F.first("n") * percent / 100) / 10))
+    return common.cut(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("have"), least.alias("least")).where("have >= least").select(*keys))
 
 
-def _groups(prefixes: DataFrame) -> DataFrame:
-    """short and grp of all sets that may link with another."""
+def _groups(prefixes: DataFrame, percent: int) -> DataFrame:
+    """short and grp of all sets that may link with another; a set may be in two groups."""
     own = Window.partitionBy("token")
-    cold = prefixes.where("not hot").select("token", "short", "need", F.min("short").over(own).alias("lo"), F.max("short").over(own).alias("hi"))
-    met = common.store(
-        cold.where("lo <> hi").select("token", "short", "need").unionByName(prefixes.where("hot").select("token", "short", "need")), "jaccard-met"
-    )
+    cold = prefixes.where("not hot").select("token", "short", "n", F.min("short").over(own).alias("lo"), F.max("short").over(own).alias("hi"))
+    met = common.store(cold.where("lo <> hi").select("token", "short", "n").unionByName(prefixes.where("hot").select("token", "short", "n")), "jaccard-met")
     # Most sets are settled here, so that what follows moves little.
-    live = met.join(common.small(common.cut(_enough(met)), BROADCAST_IDS), "short", "left_semi")
-    live = common.cut(live.distinct())
+    live = met.join(common.small(_enough(met, percent, "short")), "short", "left_semi").distinct()
+    # A step of the bands is a little longer than the largest ratio of linked sizes, whatever way logarithms are rounded.
+    step = math.log(max(100 / percent * (1 + 1e-9), 1.05))
+    home = F.floor(F.log("n") / step).cast("int")
+    live = common.cut(live.select("token", "short", "n", home.alias("home"), F.explode(F.array(home, home + 1)).alias("band")))
     for _ in range(PRUNINGS):
-        # Shingles that only one set is left with are no longer common, which settles further sets.
-        live = live.join(common.small(common.cut(_enough(live)), BROADCAST_IDS), "short", "left_semi")
-        pivots = live.groupBy("token").agg(F.min("short").alias("v"), F.max("short").alias("most")).where("v < most").select("token", "v")
-        tied = common.cut(live.join(pivots, "token").select("token", "short", "need", "v"))
+        # Shingles that only one set of a band is left with are no longer common, which settles further sets; so do shingles that only
+        # sets of the band before have, which meet there.
+        live = live.join(common.small(_enough(live, percent, "short", "band")), ["short", "band"], "left_semi")
+        pivots = live.groupBy("token", "band").agg(F.min("short").alias("v"), F.max("short").alias("most"), F.max("home").alias("top"))
+        pivots = common.cut(pivots.where("v < most and top = band").select("token", "band", "v"))
+        tied = common.cut(live.join(pivots, ["token", "band"]).select("token", "short", "n", "home", "band", "v"))
         live = tied.drop("v")
-    stars = graph.components(tied.select(F.col("short").alias("u"), "v").where("u <> v").distinct())
-    return common.cut(
-        stars.select(F.col("node").alias("short"), F.col("component").alias("grp")).unionByName(
-            stars.select(F.col("component").alias("short"), F.col("component").alias("grp")).distinct()
-        )
-    )
+    # The nodes are sets in a band; two that share a hash would only be one group.
+    node = lambda c: F.xxhash64(c, "band")
+    stars = graph.components(tied.where("short <> v").select(node("short").alias("u"), node("v").alias("v")).distinct())
+    nodes = tied.select("short", node("short").alias("node")).distinct()
+    grouped = nodes.join(stars, "node", "left").select("short", F.coalesce("component", "node").alias("grp"))
+    return common.cut(grouped.distinct())
 
 
 def join_group(ids: list[int], sets: list[np.ndarray], percent: int = PERCENT) -> graph.Forest:
@@ -274,13 +298,39 @@ def join_group(ids: list[int], sets: list[np.ndarray], percent: int = PERCENT) -
     return forest
 
 
+def _core(sets: DataFrame, percent: int) -> DataFrame:
+    """grp, short, doc_id and first (an id) of the sets of large groups that link with their group's first set, that set included."""
+    some = sets.groupBy("grp").agg(F.min_by(F.struct("doc_id", "tokens"), F.xxhash64("short")).alias("p"))
+    firsts = common.cut(some.select("grp", F.col("p.doc_id").alias("first"), F.col("p.tokens").alias("other")))
+    # A group is dealt to SALTS tasks, with a copy of its first set each: few rows, as the groups are large.
+    firsts = firsts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = sets.withColumn("salt", F.pmod(F.xxhash64("short", F.lit(1)), F.lit(SALTS)).cast("int"))
+    both = F.size(F.array_intersect("tokens", "other"))
+    linked = both * 100 >= (F.size("tokens") + F.size("other") - both) * percent
+    return salted.join(firsts, ["grp", "salt"]).where(linked).select("grp", "short", "doc_id", "first")
+
+
+def _dealt(sets: DataFrame, core: DataFrame) -> DataFrame:
+    """Sets of large groups, a copy for each pair of blocks in which they are to be compared. Blocks of the core come first; two of them make no pair."""
+    marked = sets.join(core.select("grp", "short", F.lit(1).alias("core")).distinct(), ["grp", "short"], "left").withColumn("core", F.coalesce("core", F.lit(0)))
+    blocks = lambda kind: F.ceil(F.count_if(F.col("core") == kind) / BLOCK).cast("int")
+    counts = common.cut(marked.select("grp", "short", "core").distinct().groupBy("grp").agg(blocks(1).alias("inner"), blocks(0).alias("outer")))
+    placed = marked.join(common.small(counts), "grp")
+    spot = lambda n: F.pmod(F.xxhash64("short"), F.greatest(n, F.lit(1))).cast("int")
+    own = F.when(F.col("core") == 1, spot(F.col("inner"))).otherwise(F.col("inner") + spot(F.col("outer")))
+    total = F.col("inner") + F.col("outer")
+    from_ = F.when(F.col("core") == 1, F.col("inner")).otherwise(F.lit(0))
+    others = F.when(from_ < total, F.sequence(from_, total - 1)).otherwise(F.array().cast("array<int>"))
+    pairs = F.transform(others, lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
+    return placed.select("grp", F.explode(pairs).alias("pair"), "doc_id", "short", "tokens")
+
+
 def _links(rows: DataFrame, groups: DataFrame, least: DataFrame, size: int, percent: int) -> DataFrame:
     """u, v: stars of the ids whose sets link, within groups or pairs of their blocks. least: doc_id and short of each set's smallest id."""
-    counts = common.cut(groups.groupBy("grp").count())
-    large = counts.where(F.col("count") > BLOCK).select("grp", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-    placed = groups.join(large, "grp", "left").select("short", "grp", F.coalesce("blocks", F.lit(1)).alias("blocks"))
-    named = common.cut(least.join(common.small(placed, BROADCAST_IDS, groups.count()), "short").distinct())
-    chosen = rows.join(common.small(named, BROADCAST_IDS), "doc_id").select("doc_id", "text", "grp", "blocks", "short")
+    large = common.cut(groups.groupBy("grp").count().where(F.col("count") > BLOCK).select("grp", F.lit(True).alias("large")))
+    placed = groups.join(common.small(large), "grp", "left").select("short", "grp", F.coalesce("large", F.lit(False)).alias("large"))
+    named = common.cut(least.join(common.small(common.cut(placed)), "short").distinct())
+    chosen = rows.join(common.small(named), "doc_id").select("doc_id", "text", "grp", "large", "short")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.frugal()
@@ -288,16 +338,19 @@ def _links(rows: DataFrame, groups: DataFrame, least: DataFrame, size: int, perc
             # Each of an id's texts meets each of its classes: only its own is kept.
             shorts = b.column(4).to_pylist()
             own = [(k, textops.signed(s)) for k, s in _sets(b.column(1), size) if _short(_key(s)) == shorts[k]]
-            kept = b.select(["doc_id", "grp", "blocks", "short"]).take(pa.array([k for k, _ in own], pa.int64()))
-            yield pa.RecordBatch.from_arrays(
-                [*kept.columns, pa.array([s for _, s in own], pa.list_(pa.int64()))], names=["doc_id", "grp", "blocks", "short", "tokens"]
-            )
-
-    sets = chosen.mapInArrow(make, "doc_id long, grp long, blocks int, short long, tokens array<long>")
-    own = F.pmod(F.xxhash64("short"), F.col("blocks")).cast("int")
-    # One copy of a set for each other block of its group: one in all but the largest groups.
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
-    dealt = sets.select("grp", F.explode(pairs).alias("pair"), "doc_id", "short", "tokens")
+            kept = b.select(["doc_id", "grp", "large", "short"]).take(pa.array([k for k, _ in own], pa.int64()))
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array([s for _, s in own], pa.list_(pa.int64()))], names=["doc_id", "grp", "large", "short", "tokens"])
+
+    sets = chosen.mapInArrow(make, "doc_id long, grp long, large boolean, short long, tokens array<long>")
+    alone = F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")).alias("pair")
+    direct = None
+    if large.isEmpty():
+        dealt = sets.select("grp", alone, "doc_id", "short", "tokens")
+    else:
+        sets = common.store(sets, "jaccard-tokens")
+        core = common.cut(_core(sets.where("large"), percent))
+        direct = core.where("doc_id <> first").select(F.greatest("doc_id", "first").alias("u"), F.least("doc_id", "first").alias("v"))
+        dealt = sets.where("not large").select("grp", alone, "doc_id", "short", "tokens").unionByName(_dealt(sets.where("large"), core))
     dealt = dealt.select("grp", F.col("pair.i").alias("i"), F.col("pair.j").alias("j"), "doc_id", "short", "tokens")
     dealt = dealt.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j", "doc_id", "short")
 
@@ -331,21 +384,24 @@ def _links(rows: DataFrame, groups: DataFrame, least: DataFrame, size: int, perc
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], names=["u", "v"])
 
-    return dealt.mapInArrow(run, "u long, v long")
+    found = dealt.mapInArrow(run, "u long, v long")
+    return found if direct is None else found.unionByName(direct)
 
 
 def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, class_id (smallest id with an equal set), component_id."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    summaries = _summaries(rows, size)
+    bits = _bits(rows)
+    summaries = _summaries(rows, size, bits)
     own = summaries.where("part is null")
-    real = own.where("n > 0 and doc_id is not null").select("doc_id", "key")
-    least = real.groupBy("key").agg(F.min("doc_id").alias("class"))
-    with_class = common.cut(
-        own.join(least, "key", "left").select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("class")).alias("class"), _short_column("key").alias("short"))
-    )
-    table = rows.sparkSession.sparkContext.broadcast(_frequencies(summaries))
-    groups = _groups(_prefixes(rows, size, percent, table))
+    is_real = (F.col("n") > 0) & F.col("doc_id").isNotNull()
+    real = own.where(is_real).select("doc_id", "n", "key")
+    least = common.cut(real.groupBy("key").agg(F.min("doc_id").alias("class"), F.count(F.lit(1)).alias("rows")))
+    total = least.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    named = common.join_by_key(real, least, "key", "rows", total).select("doc_id", "n", "class", _short_column("key").alias("short"))
+    with_class = common.cut(named.unionByName(own.where(~F.coalesce(is_real, F.lit(False))).select("doc_id", "n", F.lit(None).cast("long").alias("class"), F.lit(None).cast("long").alias("short"))))
+    table = rows.sparkSession.sparkContext.broadcast(_frequencies(summaries, bits))
+    groups = _groups(_prefixes(rows, size, percent, table, bits), percent)
     same = with_class.where("class <> doc_id").select(F.col("doc_id").alias("u"), F.col("class").alias("v"))
     leaders = with_class.where("class = doc_id").select("doc_id", "short")
     parts = graph.components(_links(rows, groups, leaders, size, percent).unionByName(same))

@@ -26,8 +26,6 @@ from chronolake.llm import common
 PLACES = 1 << 52
 #: Rows in a hash slice, and the most slices of one source.
 SLICE_ROWS, MAX_SLICES = 256, 2048
-#: Sources up to which the table of sources is broadcast; beyond, it is joined by a shuffle.
-BROADCAST_SOURCES = 100_000
 
 
 def word_count(text: Column) -> Column:
@@ -84,8 +82,8 @@ def targets(rows: DataFrame, max_epochs: int, cycle: int) -> DataFrame:
 
 def plan(
     docs: DataFrame, seed: int = 17, max_epochs: int = 3, cycle: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source"
-) -> tuple[DataFrame, DataFrame, int]:
-    """The sized rows; one row per source with source_size, target, whole and cut; and the number of sources.
+) -> tuple[DataFrame, DataFrame]:
+    """The sized rows; one row per source with source_size, target, whole and cut.
 
     A row is taken `whole` times, and once more if its slice of the hash stands before its source's cut_slice, or if its (place, doc_id,
     size) is no later than the source's cut (null: none is).
@@ -99,8 +97,7 @@ def plan(
             "slices", F.least(F.lit(MAX_SLICES), F.ceil(F.col("n_rows") / SLICE_ROWS)).cast("long")
         )
     )
-    n = per_source.count()
-    wide = joined(rows, per_source, n).withColumn("slice", F.expr(f"place * slices div {PLACES}"))
+    wide = joined(rows, per_source).withColumn("slice", F.expr(f"place * slices div {PLACES}"))
     before = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     sums = (
         wide.groupBy("source", "slice", "missing")
@@ -111,7 +108,7 @@ def plan(
     last = sums.where(F.col("base") <= F.col("missing")).groupBy("source").agg(F.max("slice").alias("cut_slice"), F.max_by("base", "slice").alias("base"))
     last = common.cut(last.withColumnRenamed("source", "cut_source"))
     inside = wide.join(
-        common.small(last, BROADCAST_SOURCES, n), F.col("source").eqNullSafe(F.col("cut_source")) & (F.col("slice") == F.col("cut_slice"))
+        common.small(last), F.col("source").eqNullSafe(F.col("cut_source")) & (F.col("slice") == F.col("cut_slice"))
     )
     order = Window.partitionBy("source").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     ahead = F.col("base") + F.coalesce(F.sum("size").over(order), F.lit(0))
@@ -123,12 +120,12 @@ def plan(
         .join(edge, F.col("source").eqNullSafe(F.col("s")), "left")
         .select("source", "source_size", "target", "whole", "slices", "cut", "cut_slice")
     )
-    return rows, common.cut(out), n
+    return rows, common.cut(out)
 
 
-def joined(rows: DataFrame, per_source: DataFrame, n: int) -> DataFrame:
+def joined(rows: DataFrame, per_source: DataFrame) -> DataFrame:
     """rows with their source's columns; the table of sources is broadcast as long as it is small."""
-    return rows.withColumnRenamed("source", "_of").join(common.small(per_source, BROADCAST_SOURCES, n), F.col("_of").eqNullSafe(F.col("source"))).drop("_of")
+    return rows.withColumnRenamed("source", "of").join(common.small(per_source), F.col("of").eqNullSafe(F.col("source"))).drop("of")
 
 
 def repetitions(at: Column, doc_id: Column, size: Column, prefix: str = "") -> Column:
@@ -141,18 +138,19 @@ def repetitions(at: Column, doc_id: Column, size: Column, prefix: str = "") -> C
 
 def mix_counts(docs: DataFrame, **options) -> DataFrame:
     """One row per row of docs: doc_id, size, source_size, target, reps (repetitions the mix takes), taken = size * reps."""
-    rows, per_source, n = plan(docs, **options)
+    rows, per_source = plan(docs, **options)
     reps = repetitions(F.col("place"), F.col("doc_id"), F.col("size"))
-    return joined(rows, per_source, n).withColumn("reps", reps).select("doc_id", "size", "source_size", "target", "reps", (F.col("size") * F.col("reps")).alias("taken"))
+    return joined(rows, per_source).withColumn("reps", reps).select("doc_id", "size", "source_size", "target", "reps", (F.col("size") * F.col("reps")).alias("taken"))
 
 
 def mix(docs: DataFrame, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The rows of docs, each as often as the mix takes it. Nothing but the table of sources is joined, so that texts are not shuffled."""
-    _, per_source, n = plan(docs, seed=seed, id_col=id_col, text_col=text_col, source_col=source_col, **options)
-    own = per_source.select(F.struct(*per_source.columns).alias("_mix"))
-    wide = docs.join(common.small(own, BROADCAST_SOURCES, n), F.col(source_col).cast("string").eqNullSafe(F.col("_mix.source")))
-    reps = repetitions(place(F.col(id_col), seed), F.col(id_col), word_count(F.col(text_col)), "_mix.")
-    return wide.withColumn("_nth", F.explode(F.array_repeat(F.lit(0), reps.cast("int")))).drop("_mix", "_nth")
+    _, per_source = plan(docs, seed=seed, id_col=id_col, text_col=text_col, source_col=source_col, **options)
+    own, nth = common.fresh("mix", docs), common.fresh("nth", docs)
+    table = per_source.select(F.struct(*per_source.columns).alias(own))
+    wide = docs.join(common.small(table), F.col(source_col).cast("string").eqNullSafe(F.col(f"{own}.source")))
+    reps = repetitions(place(F.col(id_col), seed), F.col(id_col), word_count(F.col(text_col)), f"{own}.")
+    return wide.withColumn(nth, F.explode(F.array_repeat(F.lit(0), reps.cast("int")))).drop(own, nth)
 
 
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -528,7 +528,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 )
 
     docs = files.select("part", "nth", "payload").mapInArrow(decode, "part int, nth int, doc_id long, at long, n_tokens long, ids_crc32 long")
-    return docs.join(common.small(starts, 200_000), ["part", "nth"]).select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
+    return docs.join(common.small(starts), ["part", "nth"]).select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

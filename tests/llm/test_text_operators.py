@@ -167,6 +167,50 @@ def test_jaccard_against_brute_force(spark, documents, monkeypatch):
     assert found_components(documents.repartition(3)) == brute_components([(r["doc_id"], r["text"]) for r in documents.collect()])
 
 
+def test_jaccard_deals_a_large_group_linearly(spark, monkeypatch):
+    # Near copies of one text: each is held against one set, and what links with it is not dealt to pairs of blocks.
+    rng = random.Random(2)
+    base = [f"w{k}" for k in range(80)]
+    rows = [(k, " ".join(w if rng.random() > 0.004 else f"x{rng.randint(0, 10**6)}" for w in base)) for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(jaccard_join, "BLOCK", 20)
+    dealt, deal = [], jaccard_join._dealt
+    monkeypatch.setattr(jaccard_join, "_dealt", lambda sets, core: dealt.append((sets, deal(sets, core))) or dealt[-1][1])
+    assert found_components(docs) == brute_components(rows)
+    (sets, copies), = dealt
+    assert sets.count() > 100 and copies.count() <= 3 * sets.count()
+
+
+def test_jaccard_with_one_shingle_in_every_prefix(spark, monkeypatch):
+    # Few other shingles are rarer, so that the common one stands in every prefix; nothing links, and lengths differ.
+    rng = random.Random(3)
+    phrase = "one phrase that all hold"
+    rows = [(k, phrase + "".join(f" {rng.choice('abc')}{rng.randint(0, 10**6)}" for _ in range(rng.choice([3, 6, 12, 24, 48])))) for k in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    counted = np.zeros(1 << jaccard_join.LEAST_BITS, np.uint32)
+    monkeypatch.setattr(jaccard_join, "_frequencies", lambda summaries, bits: counted)
+    groups, find = [], jaccard_join._groups
+    monkeypatch.setattr(jaccard_join, "_groups", lambda *a: groups.append(find(*a)) or groups[-1])
+    assert found_components(docs) == brute_components(rows)
+    # Only sets so short that one common shingle may make a link are compared with each other, lengths apart.
+    assert groups[0].count() <= 2 * len(rows)
+
+
+@pytest.mark.parametrize("percent", [50, 75, 90, 100])
+def test_jaccard_at_other_thresholds(spark, percent):
+    rows = near_copies(percent, 8, 9, 45)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(docs, percent=percent).collect())
+    assert got == brute_components(rows, percent=percent)
+
+
+def test_jaccard_many_equal_and_empty_texts(spark):
+    rows = [(k, "the same text that very many documents hold in full") for k in range(3000)] + [(5000 + k, None) for k in range(2000)] + [(9000, "another text of its own for once")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_components(docs).collect()}
+    assert got == {k: 0 if k < 3000 else k for k, _ in rows}
+
+
 def test_jaccard_in_a_group():
     rng = random.Random(4)
     base = rng.sample(range(10**6), 60)

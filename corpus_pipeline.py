@@ -2,10 +2,12 @@
 
 STAGES lists (name, function); each function takes (spark, docs, sf_dir) and returns a DataFrame with the columns of documents,
 the last one with shard and slot too. run() applies them to the documents of a folder and keeps each stage's rows in the shared
-folder, so that a lost executor costs one stage's tasks only.
+folder, so that a lost executor costs one stage's tasks only; what a stage needed itself is deleted as soon as its rows are kept.
 
 Cases: null and empty texts are not toxic, link with nothing, meet no benchmark item, count no words and so leave with the
-mix when their source takes no whole repetition of them; empty tables pass as such.
+mix when their source takes no whole repetition of them; null ids link with nothing. Rows that repeat an id are one document for the
+join: they stay or go together, and go if any of their texts links with a document of a smaller id; all other stages judge each row
+alone. Empty tables pass as such. Other columns travel along, but columns named shard and slot give way to the last stage's.
 """
 
 from __future__ import annotations
@@ -21,14 +23,15 @@ ORACLE_SQL = None  # a classifier and edit distances have no SQL; tests hold the
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not call toxic."""
     model = toxicity.fit(docs, common.labels(spark, sf_dir))
-    return toxicity.score(docs, model, name="_toxicity").where("_toxicity < 0.5").drop("_toxicity")
+    name = common.fresh("toxicity", docs)
+    return toxicity.score(docs, model, name=name).where(F.col(name) < 0.5).drop(name)
 
 
 def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents, the one with the smallest id."""
     groups = jaccard_join.jaccard_components(docs)
-    gone = common.cut(groups.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(common.small(gone, jaccard_join.BROADCAST_IDS), F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone = common.cut(groups.where("component_id <> doc_id").select("doc_id").distinct())
+    return docs.join(common.small(gone), "doc_id", "left_anti").select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,9 +45,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deal_to_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their shard (0 to 15, of equal bytes) and slot."""
-    plan = sharding.Resharding(docs, sharding.by_source(F.col("source"), 16), 16, 16)
-    return plan.assigned().withColumnsRenamed({"_shard": "shard", "_slot": "slot"}).drop("_size", "_crc")
+    """Documents with their shard (0 to 15, of equal bytes) and slot, read from the shards' files."""
+    docs = docs.drop("shard", "slot")
+    files = sharding.resharded(docs, common.scratch(spark, "shards"), sharding.OLD_SHARDS, sharding.NEW_SHARDS)
+    return files.select("doc.*", "shard", "slot")
 
 
 STAGES = [
@@ -58,6 +62,11 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.documents(spark, sf_dir)
+    begun = common.mark()
     for name, stage in STAGES[:-1]:
-        docs = common.store(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        made = stage(spark, docs, sf_dir)
+        path = common.scratch(spark, name.replace(" ", "-"))
+        made.write.parquet(path)
+        docs = spark.read.schema(made.schema).parquet(path)
+        common.sweep(spark, since=begun, keep=[path])
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -4,19 +4,23 @@ A window is `window` consecutive words of a document. Words that a window covers
 document of a smaller id.
 
 1. Anchors. The hash of every run of window // 2 words is taken, and of each window the least of its runs' hashes: equal windows
-   have equal anchors, and a document has few. Anchors that two documents share are found by one aggregation.
+   have equal anchors, and a document has few. Anchors that two documents share are found by one aggregation; those that very many share
+   are then marked map-side.
 2. Segments. Runs of windows with shared anchors are cut out of the documents; all that could recur stands in them.
 3. Confirmed passages. The 128-bit hashes of the segments' windows are aggregated to the first and last document that has them;
    windows of two documents or more are put together, in their first document, to passages as long as possible.
-4. Sharded automata. The documents are dealt to shards; a shard gets the passages that have an anchor in common with its
-   documents, once each, cuts them into blocks of half a window and compiles an Aho-Corasick automaton over word numbers. Every
-   window of a passage holds a whole block.
-5. Location. Each shard streams its documents' segments through its automaton. A hit is extended to both sides as long as document and
-   passage agree; runs of a window or more go, if the passage's document has the smaller id.
+4. Sharded automata. The documents are dealt to shards of bounded bytes, a task each; a shard gets the passages that have an anchor in common
+   with its documents, once each. If these are many, the shard is worked on in several loads, each a task with a part of the passages. A load
+   cuts its passages into blocks of half a window and compiles an Aho-Corasick automaton over word numbers. Every window of a passage holds
+   a whole block.
+5. Location. Each load streams its shard's segments through its automaton. The windows around a hit are looked up, by their 128-bit hashes,
+   among the load's windows; those that a smaller document has go.
+
+Words are known by 64-bit hashes and windows by two hashes of these; they are not compared with the text.
 
 Cases: null and empty texts have no words; a text shorter than a window keeps all; rows with a null id neither lose words nor take
-any from others; rows that repeat an id are each judged against smaller ids only. Texts are read whole. An empty table gives no
-rows. Other columns are ignored.
+any from others; rows that repeat an id are each judged against smaller ids only. Texts are read whole; a document is worked on as a
+whole, in about 60 bytes of memory for each of its text. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,8 +37,10 @@ from pyspark.sql import functions as F
 from chronolake.llm import common, textops
 
 WINDOW = 50
-#: Segment bytes of a shard of documents, and rows up to which a list of documents is broadcast.
-SHARD_BYTES, BROADCAST_ROWS, BROADCAST_ANCHORS = 4 << 20, 300_000, 4_000_000
+#: Segment bytes of a shard, and the most shards; beyond, shards grow. Passage bytes of a load.
+SHARD_BYTES, MOST_SHARDS, LOAD_BYTES = 4 << 20, 100_000, 8 << 20
+#: Bytes up to which lists of anchors and ranges are broadcast.
+BROADCAST_BYTES = 32 << 20
 
 
 def least(values: np.ndarray, width: int) -> np.ndarray:
@@ -91,9 +97,9 @@ def _documents_anchors(rows: DataFrame, window: int) -> DataFrame:
     return common.store(rows.mapInArrow(run, "doc_id long, h array<long>"), "anchors")
 
 
-def _segments(rows: DataFrame, shared: DataFrame, n_docs: int, n_anchors: int, window: int) -> DataFrame:
+def _segments(rows: DataFrame, shared: DataFrame, window: int) -> DataFrame:
     """doc_id, th (hash of the text), start (word), text: what could recur."""
-    lists = F.broadcast(shared) if n_docs <= BROADCAST_ROWS and n_anchors <= BROADCAST_ANCHORS else shared
+    lists = common.small(shared, BROADCAST_BYTES)
     schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("start", pa.int64()), ("text", pa.large_string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,15 +171,15 @@ def _passages(segments: DataFrame, recurring: DataFrame, window: int) -> DataFra
 
 
 class Automaton:
-    """Aho-Corasick over the word numbers of a shard's passages.
+    """Aho-Corasick over the word numbers of a load's passages, and their windows' hashes with the smallest document that has each.
 
-    A pattern is a block of half a window. With it go its surroundings in the passages, half a window on either side: every window
-    that holds the block lies in them. Equal surroundings are kept once, with the smallest document that has them.
+    A pattern is a block of half a window; it tells where windows are worth looking up.
     """
 
     def __init__(self, window: int):
         self.window, self.half = window, window // 2
-        self._blocks: dict[tuple[int, ...], dict[tuple[int, bytes], int]] = {}
+        self._blocks: set[tuple[int, ...]] = set()
+        self._windows: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self._compiled = None
 
     @staticmethod
@@ -181,71 +187,97 @@ class Automaton:
         return tuple((words >> np.uint64(32)).tolist())
 
     def add(self, first: int, words: np.ndarray) -> None:
-        numbers, side = self.numbers(words), self.window - self.half
-        for o in range(0, len(words) - self.half + 1, self.half):
-            around = self._blocks.setdefault(numbers[o : o + self.half], {})
-            left = min(o, side)
-            key = left, words[o - left : o + self.half + side].tobytes()
-            around[key] = min(around.get(key, first), first)
+        numbers = self.numbers(words)
+        self._blocks.update(numbers[o : o + self.half] for o in range(0, len(words) - self.half + 1, self.half))
+        one, two = window_keys(words, self.window)
+        self._windows.append((one, two, np.full(len(one), first, np.int64)))
 
     def _compile(self) -> None:
         self._compiled = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for block, around in self._blocks.items():
-            uses = [(first, left, np.frombuffer(held, np.uint64)) for (left, held), first in around.items()]
-            self._compiled.add_word(block, sorted(uses, key=lambda u: (-len(u[2]), u[0])))
+        for block in self._blocks:
+            self._compiled.add_word(block, True)
         self._compiled.make_automaton()
         self._blocks.clear()
+        one, two, first = (np.concatenate(x) for x in zip(*self._windows))
+        self._windows.clear()
+        order = np.lexsort((first, two, one))
+        one, two, first = one[order], two[order], first[order]
+        new = np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])])
+        self._one, self._two, self._first = one[new], two[new], first[new]
+        # Windows that share their first hash only: one in all but freak cases.
+        self._alike = int(np.diff(np.flatnonzero(np.concatenate([[True], self._one[1:] != self._one[:-1], [True]]))).max())
 
     def removed(self, doc_id: int, words: np.ndarray) -> np.ndarray:
         """Which words a recurring window covers that starts in a smaller document."""
-        n, half, window = len(words), self.half, self.window
-        out = bytearray(n)
+        n, window = len(words), self.window
+        gone = np.zeros(n, bool)
         if self._compiled is None and self._blocks:
             self._compile()
         if self._compiled is None or n < window:
-            return np.frombuffer(out, bool)
-        for end, uses in self._compiled.iter(self.numbers(words)):
-            s = end - half + 1
-            lo, hi = max(0, s - window + half), min(n, s + window)
-            for first, left, around in uses:
-                if first >= doc_id:
-                    continue
-                if 0 not in out[lo:hi]:  # all windows that hold this block are gone
-                    break
-                a, z = max(0, s - left), min(n, s - left + len(around))
-                skip = a - (s - left)
-                unlike = np.flatnonzero(words[a:z] != around[skip : skip + z - a])
-                at = int(np.searchsorted(unlike, s - a))
-                run_from = a + int(unlike[at - 1]) + 1 if at else a
-                run_to = a + int(unlike[at]) if at < len(unlike) else z
-                if run_to - run_from >= window and run_to >= s + half:
-                    out[run_from:run_to] = b"\1" * (run_to - run_from)
-        return np.frombuffer(out, bool)
+            return gone
+        ends = np.fromiter((end for end, _ in self._compiled.iter(self.numbers(words))), np.int64)
+        if not len(ends):
+            return gone
+        # A hit lies in the windows that begin up to window - half words before it.
+        near = np.zeros(n + 1, np.int64)
+        begin = ends - self.half + 1
+        np.add.at(near, np.maximum(begin - (window - self.half), 0), 1)
+        np.add.at(near, np.minimum(begin + 1, n), -1)
+        start = np.flatnonzero(near.cumsum()[: n - window + 1] > 0)
+        one, two = window_keys(words, window)
+        at, found = np.searchsorted(self._one, one[start]), np.zeros(len(start), bool)
+        for k in range(self._alike):
+            spot = np.minimum(at + k, len(self._one) - 1)
+            found |= (self._one[spot] == one[start]) & (self._two[spot] == two[start]) & (self._first[spot] < doc_id)
+        cover = np.zeros(n + 1, np.int64)
+        cover[start[found]] += 1
+        cover[start[found] + window] -= 1
+        return cover.cumsum()[:n] > 0
 
 
 def _located(segments: DataFrame, shared: DataFrame, passages: DataFrame, window: int) -> DataFrame:
     """doc_id, th and ranges (start, end of words) to remove."""
+    spark = segments.sparkSession
     total = segments.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(1, -(-int(total) // SHARD_BYTES))
+    shards = min(MOST_SHARDS, max(1, -(-int(total) // SHARD_BYTES)))
     shard = F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int")
-    wanted = shared.select(shard.alias("shard"), F.explode("h").alias("h")).distinct()
-    uses = passages.select("pid", F.explode("h").alias("h"))
-    dealt = wanted.join(uses, "h").select("shard", "pid").distinct()
-    known = dealt.join(passages.dropDuplicates(["pid"]), "pid").select("shard", F.lit(0).alias("kind"), F.col("first").alias("doc_id"), F.lit(0).cast("long").alias("th"), F.lit(0).cast("long").alias("start"), "text")
-    own = segments.select(shard.alias("shard"), F.lit(1).alias("kind"), "doc_id", "th", "start", "text")
-    both = known.unionByName(own).repartition("shard").sortWithinPartitions("shard", "kind")
+    # Both sides are stored, so that adaptive execution can split an anchor that very many passages or shards have.
+    wanted = common.store(shared.select(shard.alias("shard"), F.explode("h").alias("h")).distinct(), "wanted")
+    uses = passages.select("pid", F.octet_length("text").alias("size"), F.explode("h").alias("h"))
+    dealt = common.store(wanted.join(uses, "h").select("shard", "pid", "size").distinct(), "dealt")
+    # One row per load; the loads of a shard have consecutive numbers.
+    loads = F.greatest(F.lit(1), F.ceil(F.sum("size") / LOAD_BYTES)).cast("int")
+    counted = {r["shard"]: r["loads"] for r in dealt.groupBy("shard").agg(loads.alias("loads")).collect()}
+    table, n = [], 0
+    for k in range(shards):
+        if k in counted:  # no passage recurs in the others
+            table.append((k, n, counted[k]))
+            n += counted[k]
+    if not table:
+        return spark.createDataFrame([], "doc_id long, th long, ranges array<struct<start:bigint,end:bigint>>")
+    numbered = F.broadcast(spark.createDataFrame(table, "shard int, load int, loads int"))  # MOST_SHARDS rows at most
+    spot = (F.col("load") + F.pmod(F.xxhash64("pid"), F.col("loads"))).cast("int")
+    none = F.lit(0).cast("long")
+    known = (
+        dealt.join(passages.dropDuplicates(["pid"]).drop("h"), "pid")
+        .join(numbered, "shard")
+        .select(spot.alias("load"), F.lit(0).alias("kind"), F.col("first").alias("doc_id"), none.alias("th"), none.alias("start"), "text")
+    )
+    each = F.explode(F.sequence(F.col("load"), F.col("load") + F.col("loads") - 1))
+    own = segments.withColumn("shard", shard).join(numbered, "shard").select(each.alias("load"), F.lit(1).alias("kind"), "doc_id", "th", "start", "text")
+    both = known.unionByName(own).repartitionById(n, "load").sortWithinPartitions("load", "kind")
     schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.frugal()
         now, automaton = None, None
         for b in batches:
-            shard_of, kind, ids, th, first = (b.column(k).to_pylist() for k in range(5))
+            load, kind, ids, th, first = (b.column(k).to_pylist() for k in range(5))
             out = []
             for at, to, w in textops.steps(b.column(5)):
                 for k in range(at, to):
-                    if shard_of[k] != now:
-                        now, automaton = shard_of[k], Automaton(window)
+                    if load[k] != now:
+                        now, automaton = load[k], Automaton(window)
                     words = w.hashes[w.first[k - at] : w.first[k - at + 1]]
                     if kind[k] == 0:
                         automaton.add(ids[k], words)
@@ -261,14 +293,15 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
     """One row per row of docs: doc_id, n_words, n_removed, kept_text (the words that stay, joined by one space)."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     exploded = _documents_anchors(rows, window).select("doc_id", F.explode("h").alias("h"))
-    recur = exploded.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h")
-    shared = common.store(exploded.join(recur, "h").groupBy("doc_id").agg(F.collect_set("h").alias("h")), "shared-anchors")
-    n_docs, n_anchors = shared.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("h")), F.lit(0))).first()
-    segments = _segments(rows, shared, n_docs, n_anchors, window)
+    found = exploded.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("rows"))
+    recur = common.cut(found.where("lo < hi").select("h", "rows"))
+    total = recur.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    marked = common.join_by_key(exploded, recur, "h", "rows", total, "left_semi")
+    shared = common.store(marked.groupBy("doc_id").agg(F.collect_set("h").alias("h")), "shared-anchors")
+    segments = _segments(rows, shared, window)
     passages = _passages(segments, _recurring(segments, window), window)
     ranges = _located(segments, shared, passages, window)
-    n_ranges, n_parts = ranges.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("ranges")), F.lit(0))).first()
-    lists = F.broadcast(ranges) if n_ranges <= BROADCAST_ROWS and n_parts <= BROADCAST_ANCHORS else ranges
+    lists = common.small(ranges, BROADCAST_BYTES)
     joined = rows.withColumn("th", F.xxhash64("text")).join(lists, ["doc_id", "th"], "left").select("doc_id", "text", "ranges")
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.large_string())])
 

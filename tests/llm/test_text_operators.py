@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from chronolake.llm import boosting, common, decontamination, graph, jaccard_join, quality, registry, substring_dedup, token_files, toxicity
+from chronolake.llm import boosting, common, decontamination, graph, jaccard_join, quality, registry, substring_dedup, textops, token_files, toxicity
 from tests.llm.conftest import AWKWARD, words
 
 LARGE = "/root/testdata/sf0.1"
@@ -297,15 +297,33 @@ def test_substring_against_brute_force(spark, documents, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     for size in (1 << 22, 300):
         monkeypatch.setattr(substring_dedup, "SHARD_BYTES", size)
+        monkeypatch.setattr(substring_dedup, "LOAD_BYTES", 2 * size)  # several loads for a shard
         for window in (10, 21):
             got = substring_dedup.substring_dedup(docs, window=window).collect()
             assert Counter(tuple(r) for r in got) == brute_removed(rows, window)
-    monkeypatch.setattr(substring_dedup, "BROADCAST_ROWS", 0)  # the way of large inputs
+    monkeypatch.setattr(substring_dedup, "BROADCAST_BYTES", 0)  # the way of large inputs
+    monkeypatch.setattr(common, "HEAVY", 4)
     got = registry.QUERIES["op3_substring_dedup"](spark, "/root/testdata/sf0.001").collect()
     want = brute_removed([(r["doc_id"], r["text"]) for r in documents.collect()], 50)
     assert Counter(tuple(r) for r in got) == Counter({(d, n, k, hashlib.sha256(t.encode()).hexdigest()): c for (d, n, k, t), c in want.items()})
 
 
+def test_windows_that_share_a_hash_are_told_apart(monkeypatch):
+    keys = substring_dedup.window_keys
+    monkeypatch.setattr(substring_dedup, "window_keys", lambda words, window: (keys(words, window)[0] & np.uint64(3), keys(words, window)[1]))
+    rng = np.random.default_rng(1)
+    words = textops.mix(rng.integers(0, 2**63, 400).astype(np.uint64))
+    automaton = substring_dedup.Automaton(10)
+    automaton.add(5, words[:200])
+    automaton.add(3, words[150:260])
+    text = np.concatenate([words[350:], words[20:60], words[300:310], words[195:230], words[100:109]])
+    want = np.r_[np.zeros(50, bool), np.ones(40, bool), np.zeros(10, bool), np.ones(35, bool), np.zeros(9, bool)]
+    assert (automaton.removed(9, text) == want).all()
+    want[50:90] = False
+    assert (automaton.removed(4, text) == want).all()
+    assert not automaton.removed(3, text).any()
+
+
 def test_substring_awkward(awkward, nothing):
     rows = substring_dedup.substring_dedup(awkward, window=4).collect()
     assert {(r["doc_id"], r["n_removed"]) for r in rows if r["n_removed"]} == {(5, 5)}

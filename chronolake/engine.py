@@ -4,23 +4,26 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronolake import telemetry
+from chronolake import session, telemetry
 from chronolake.errors import BadRequest, ConnectionMissing, DeleteNotSupported, EngineError, NoDatabase, NotFound, TableNotFound
 from chronolake.functions import time as times
 from chronolake.model import PROFILES, Config, Point, Value, require, supports
 from chronolake.plans import flux, iql, sql
 from chronolake.plans.compile import Compiler, Options
-from chronolake.sources import line_protocol
+from chronolake.sources import decode, line_protocol
 from chronolake.sources.measurement import Measurement
 from chronolake.sources.storage import Warehouse
 from chronolake.streaming.batch_writer import BatchWriter
 
 Row = dict[str, Any]
+#: Column of the order of writing next to a result that is sorted by it.
+WRITTEN = "\0written"
 
 
 class Engine:
@@ -41,6 +44,7 @@ class Engine:
     ):
         if profile not in PROFILES:
             raise ValueError(f"unknown profile: {profile}")
+        session.prepare(spark)
         self.spark, self.profile, self.database, self.strict, self.now_ns = spark, profile, database, strict, now_ns
         self.warehouse = Warehouse(spark, root, databases)
         self.views: dict[str, Measurement] = {}
@@ -61,20 +65,28 @@ class Engine:
             raise NoDatabase("no database is given")
         return own
 
-    def write(self, payload: str | bytes | Point | list[Point], database: str | None = None, precision: str = "nanosecond") -> int:
-        """Writes line protocol, plain or gzip, or points; returns the number of points. A bad line writes nothing."""
+    def write(self, payload: str | bytes | Point | list[Point], database: str | None = None, precision: str = "nanosecond", name: str | None = None) -> int:
+        """Writes line protocol, plain or gzip, or points; returns the number of points. A bad line writes nothing, nor does a write whose name was used before."""
         require(self.profile, "write")
-        name = self._namespace(database)
+        own = self._namespace(database)
         if isinstance(payload, Point | list):
             payload = line_protocol.encode(payload)
-        with telemetry.span("write", database=name) as measures:
+        with telemetry.span("write", database=own) as measures:
             text = line_protocol.unzipped(payload)
-            self._writable(name)
-            n = self.warehouse.append_lines(name, text, precision, self.now_ns())
-            self._auto_create(name)
+            self._writable(own)
+            n = self.warehouse.append_lines(own, text, precision, self.now_ns(), name)
+            self._auto_create(own)
             measures["points"], measures["bytes"] = n, len(payload)
         return n
 
+    def write_direct(self, points: Point | list[Point] | str, database: str | None = None, precision: str = "nanosecond") -> int:
+        """Writes points or lines at once, as a payload that is compressed if it is long."""
+        return self.write(line_protocol.zipped(points if isinstance(points, str) else line_protocol.encode(points)), database, precision)
+
+    def compact(self, measurement: str, database: str | None = None) -> int:
+        """Puts the many small files of frequent writes together; returns the number of days rewritten."""
+        return self.warehouse.compact(self._namespace(database), measurement)
+
     def write_files(self, path: str, database: str | None = None, precision: str = "nanosecond") -> int:
         """Writes line-protocol files, read by tasks in parallel."""
         require(self.profile, "write")
@@ -99,6 +111,10 @@ class Engine:
         self._writer = BatchWriter(self.write, **options)
         return self._writer
 
+    @property
+    def writer(self) -> BatchWriter:
+        return self._writer or self.batch_writer()
+
     def flush(self) -> None:
         if self._writer is not None:
             self._writer.flush()
@@ -124,8 +140,8 @@ class Engine:
             raise BadRequest("unsupported SQL: SELECT expected")
         return self._compiled(q, database, written_order)
 
-    def _compiled(self, q: sql.Select, database: str | None, written_order: bool) -> DataFrame:
-        return Compiler(self.measurement(q.measurement, database), Options(self.strict, written_order, self.now_ns)).select(q)
+    def _compiled(self, q: sql.Select, database: str | None, written_order: bool, written: str | None = None) -> DataFrame:
+        return Compiler(self.measurement(q.measurement, database), Options(self.strict, written_order, self.now_ns, written)).select(q)
 
     def query_sql(self, text: str, params: dict[str, Any] | None = None, database: str | None = None, format: str = "rows", transport: str = "http") -> Any:
         """Rows as dicts; or an Arrow table with format arrow or transport flight."""
@@ -134,20 +150,39 @@ class Engine:
 
     def _run(self, text: str, params: dict[str, Any] | None, database: str | None, format: str) -> Any:
         with telemetry.span("query", text=text) as measures:
-            df = self.frame(text, params, database, written_order=True)
+            q = sql.parse(text, params)
+            if not isinstance(q, sql.Select):
+                raise BadRequest("unsupported SQL: SELECT expected")
+            # Without ORDER BY, rows come latest write first; unless a LIMIT needs that order, they are sorted here, not by a shuffle of the table.
+            plain = not (q.order or q.distinct or q.limit is not None or q.offset or _aggregated(q))
+            df = self._compiled(q, database, not plain, WRITTEN if plain else None)
+            sort = WRITTEN in df.columns
             if format == "arrow":
-                return df.toArrow()
-            rows = shown(df.collect(), sparse=not _aggregated(text, params))
+                table = df.toArrow()
+                return table.sort_by([(WRITTEN, "descending")]).drop_columns([WRITTEN]) if sort else table
+            found = df.collect()
+            if sort:
+                found.sort(key=lambda r: r[WRITTEN], reverse=True)
+            rows = shown(found, sparse=not _aggregated(q))
+            if sort:
+                for r in rows:
+                    del r[WRITTEN]
             measures["rows"] = len(rows)
             return rows
 
-    def query_sql_stream(self, text: str, params: dict[str, Any] | None = None, database: str | None = None, swallow: bool = False) -> Iterator[Row]:
-        """Rows one by one, a partition at a time. swallow: an error gives no rows."""
+    def export(self, text: str, path: str, format: str = "parquet", params: dict[str, Any] | None = None, database: str | None = None) -> None:
+        """Writes a query's rows to files, by tasks: for results that do not fit the driver. They are sorted only by an ORDER BY."""
+        require(self.profile, "query_sql")
+        decode.write(self.frame(text, params, database), path, format)
+
+    def query_sql_stream(self, text: str, params: dict[str, Any] | None = None, database: str | None = None, swallow: bool = False, ordered: bool = False) -> Iterator[Row]:
+        """Rows one by one, a partition at a time. swallow: an error gives no rows. ordered: without ORDER BY too, latest write first, by a sort of the table."""
         require(self.profile, "query_sql_stream")
         sparse = None
         try:
-            df = self.frame(text, params, database, written_order=True)
-            sparse = not _aggregated(text, params)
+            q = sql.parse(text, params)
+            df = self.frame(text, params, database, written_order=ordered or isinstance(q, sql.Select) and q.limit is not None)
+            sparse = not _aggregated(q)
             for row in df.toLocalIterator(prefetchPartitions=True):
                 yield from shown([row], sparse)
         except EngineError:
@@ -193,12 +228,11 @@ class Engine:
         tags = [c for c in df.columns if c != stamp and plain.get(c, c) in source.tags]
         kinds = {"bigint": "i", "int": "i", "double": "f", "boolean": "b", "string": "s", "decimal(38,0)": "d"}
         fields = {c: kinds[t] for c, t in df.dtypes if c != stamp and c not in tags and t in kinds}
-        rows = df.withColumn("time_ns", seconds * F.lit(10**9) + rest).persist()
-        try:
-            n = rows.count()
-            self.warehouse.append_table(name, q.measurement, rows.select("time_ns", *[F.col(f"`{c}`") for c in (*tags, *fields)]), tags, fields)
-        finally:
-            rows.unpersist()
+        other = [f"{c} ({t})" for c, t in df.dtypes if c != stamp and c not in tags and t not in kinds]
+        if other:
+            raise BadRequest(f"INSERT cannot store {', '.join(other)}")
+        rows = df.withColumn("time_ns", seconds * F.lit(10**9) + rest)
+        n = self.warehouse.append_table(name, q.measurement, rows.select("time_ns", *[F.col(f"`{c}`") for c in (*tags, *fields)]), tags, fields)
         self._auto_create(name)
         return n
 
@@ -207,7 +241,7 @@ class Engine:
         shown_now = iql.show(text)
         if shown_now is None:
             return self._run(iql.to_sql(text), params, database, "rows")
-        name = self._namespace(database)
+        name = self._namespace(shown_now.database or database)
         if shown_now.what == "databases":
             return [{"iox::database": d} for d in sorted(self.warehouse.catalog["databases"])]
         if shown_now.what == "measurements":
@@ -235,23 +269,22 @@ class Engine:
     def query_flux(self, text: str) -> list[Row]:
         require(self.profile, "query_flux")
         with telemetry.span("query", text=text) as measures:
-            frames = self.flux_frames(text, written_order=True)
-            if not frames:
-                return []
-            if len(frames) > 1:
-                types: dict[str, set[str]] = {}
-                for f in frames:
-                    for c, t in f.dtypes:
-                        types.setdefault(c, set()).add(t)
-                mixed = [c for c, t in types.items() if len(t) > 1]
-                frames = [f.withColumns({c: F.col(f"`{c}`").cast("variant") for c in mixed if c in f.columns}) for f in frames]
-            df = frames[0]
-            for f in frames[1:]:
-                df = df.unionByName(f, allowMissingColumns=True)
-            rows = shown(df.collect(), sparse=True)
+            df = self.flux_frame(text, written_order=True)
+            rows = [] if df is None else shown(df.collect(), sparse=True)
             measures["rows"] = len(rows)
             return rows
 
+    def flux_frame(self, text: str, written_order: bool = False) -> DataFrame | None:
+        """The rows of all measurements that a pipeline reads, a column for each of their tags and fields; None without any."""
+        frames = self.flux_frames(text, written_order)
+        types: dict[str, set[str]] = {}
+        for f in frames:
+            for c, t in f.dtypes:
+                types.setdefault(c, set()).add(t)
+        mixed = [c for c, t in types.items() if len(t) > 1]
+        frames = [f.withColumns({c: F.col(f"`{c}`").cast("variant") for c in mixed if c in f.columns}) for f in frames]
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames) if frames else None
+
     # Administration.
 
     def create_database(self, name: str, retention: str | None = None) -> None:
@@ -301,10 +334,9 @@ class Engine:
             self._writer.close()
 
 
-def _aggregated(text: str, params: dict[str, Any] | None) -> bool:
+def _aggregated(q: Any) -> bool:
     from chronolake.operators import aggregates
 
-    q = sql.parse(text, params)
     return bool(isinstance(q, sql.Select) and (q.group or any(aggregates.within(i.expr) for i in q.items)))
 
 
@@ -328,11 +360,13 @@ class Connections:
     def __init__(self) -> None:
         self._open: dict[str, tuple[Config, Engine]] = {}
 
-    def add(self, spark: SparkSession, root: str, profile: str = "v3_core", **options: Any) -> Engine:
+    def add(self, spark: SparkSession, root: str, profile: str = "v3_core", writer: dict[str, Any] | None = None, **options: Any) -> Engine:
+        """Opens a connection with a batch writer of its own; writer: the batch writer's options."""
         config = Config.validated(**options)
         if config.name in self._open:
             raise ValueError(f"connection {config.name!r} is open already")
         engine = Engine(spark, root, profile, database=config.database or "default")
+        engine.batch_writer(**{"database": config.database, **(writer or {})})
         self._open[config.name] = config, engine
         return engine
 
@@ -346,9 +380,21 @@ class Connections:
             raise ConnectionMissing(name)
         return self._open[name][0]
 
+    def write(self, points: Point | list[Point] | str, name: str = "default") -> None:
+        """Adds points to the buffer of a connection."""
+        self.get(name).writer.write(points)
+
+    def flush(self, name: str = "default") -> None:
+        self.get(name).flush()
+
+    def stats(self, name: str = "default") -> dict[str, int]:
+        return self.get(name).stats()
+
     def remove(self, name: str) -> None:
-        self.get(name).close()
+        """Flushes and closes a connection; it is gone even if the flush fails, which is raised."""
+        engine = self.get(name)
         del self._open[name]
+        engine.close()
 
 
 __all__ = ["Connections", "Engine", "shown", "times"]

@@ -49,6 +49,10 @@ class BufferFull(EngineError):
     """A batch writer holds as much as it may."""
 
 
+class WriterClosed(EngineError):
+    """A batch writer was given points after its close()."""
+
+
 class ConnectionMissing(EngineError):
     """No connection of that name is open."""
 

@@ -22,11 +22,15 @@ from chronolake.sources.measurement import Measurement, ident
 
 @dataclass
 class Options:
-    """strict: refuse what the dialect's narrow form refuses. written_order: without ORDER BY, rows come latest write first."""
+    """strict: refuse what the dialect's narrow form refuses. written_order: without ORDER BY, rows come latest write first.
+
+    written: name of a column for the number of a row's write, next to rows that no aggregate has made.
+    """
 
     strict: bool = False
     written_order: bool = False
     now_ns: Callable[[], int] = time.time_ns
+    written: str | None = None
 
 
 class Compiler:
@@ -116,7 +120,7 @@ class Compiler:
             a = self.bounds(sql.Binary(">=", tree.arg, tree.low))
             b = self.bounds(sql.Binary("<=", tree.arg, tree.high))
             return a[0], b[1]
-        if not isinstance(name, sql.Name) or name.name.lower() != "time" or value is None:
+        if not isinstance(name, sql.Name) or name.name.lower() != "time" or self.known(name.name) or value is None:
             return low, high
         if op in (">", ">=", "="):
             low = value
@@ -226,9 +230,10 @@ class Compiler:
         if order or self.options.written_order:
             df = df.orderBy(*order, *self.m.written_order())
         df = self._cut(df, q)
+        own = [F.col(ident(self.m.seq)).alias(self.options.written)] if self.options.written and self.m.seq else []
         if not q.items:
-            return df.select(*self.all_columns())
-        return df.select(*[self.value(i.expr).alias(i.alias or label(i.expr)) for i in q.items])
+            return df.select(*self.all_columns(), *own)
+        return df.select(*own, *[self.value(i.expr).alias(i.alias or label(i.expr)) for i in q.items])
 
     def _cut(self, df: DataFrame, q: sql.Select) -> DataFrame:
         if q.offset:

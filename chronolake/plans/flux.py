@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -46,8 +47,29 @@ def _stages(text: str) -> list[tuple[str, str]]:
     return out
 
 
+def _equal(body: str) -> Iterator[tuple[str, str]]:
+    """(key, value) of the comparisons that a filter joins by `and`; whatever else stands in it is refused."""
+    found = re.fullmatch(r"\s*fn\s*:\s*\(\s*r\s*\)\s*=>\s*(.+)", body, re.DOTALL)
+    if not found:
+        raise BadRequest(f"unsupported filter: {body.strip()}")
+    own = re.sub(r"^\{\s*return\b(.*)\}$", r"\1", found[1].strip(), flags=re.DOTALL)
+    at = 0
+    while True:
+        pair = re.compile(rf"[\s(]*{_PAIR.pattern}[\s)]*").match(own, at)
+        if not pair:
+            raise BadRequest(f"unsupported filter: {own[at:].strip()}")
+        yield pair[1] or pair[2], pair[3].replace('\\"', '"')
+        at = pair.end()
+        if at == len(own):
+            return
+        joined = re.compile(r"and\b").match(own, at)
+        if not joined:
+            raise BadRequest(f"unsupported filter: {own[at:].strip()}")
+        at = joined.end()
+
+
 def parse(text: str) -> Pipeline:
-    """Stages that are not known are passed over; of each filter, all comparisons joined by `and` hold."""
+    """Of each filter, all comparisons joined by `and` hold. yield() changes nothing; other stages and comparisons are refused."""
     p = Pipeline()
     for name, body in _stages(text):
         if name == "from":
@@ -59,17 +81,16 @@ def parse(text: str) -> Pipeline:
                 if found:
                     setattr(p, key, found[1])
         elif name == "filter":
-            if re.search(r"\bor\b", body):
-                raise BadRequest("unsupported filter: or")
-            for plain, quoted, value in _PAIR.findall(body):
-                key = plain or quoted
+            for key, value in _equal(body):
                 if key == "_measurement":
                     p.measurement = value
                 else:
-                    p.equal.append((key, value.replace('\\"', '"')))
+                    p.equal.append((key, value))
         elif name == "limit":
             found = re.search(r"\bn\s*:\s*(\d+)", body)
             p.limit = int(found[1]) if found else None
+        elif name != "yield":
+            raise BadRequest(f"unsupported stage: {name}")
     return p
 
 

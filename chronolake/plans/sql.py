@@ -152,9 +152,8 @@ def tokens(text: str, params: dict[str, Any]) -> list[Token]:
             out.append(Token("literal", own, own[1:-1].replace("''", "'")))
         elif kind == "param":
             if own[1:] not in params:
-                out.append(Token("literal", own, own))
-            else:
-                out.append(Token("literal", own, params[own[1:]]))
+                raise BadRequest(f"missing parameter: {own}")
+            out.append(Token("literal", own, params[own[1:]]))
         elif kind == "number":
             out.append(Token("literal", own, int(own) if own.isdigit() else float(own)))
         elif kind == "quoted":

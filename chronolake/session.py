@@ -30,7 +30,9 @@ def local_session(cpus: int | str = "*", app: str = "chronolake", **conf: str) -
 
 
 def prepare(spark: SparkSession) -> None:
-    """Lets Python workers import this package when it is run from a checkout that is not installed."""
+    """Sets the zone that buckets and texts of times rely on, and lets Python workers import this package when it is run from a checkout that is not installed."""
+    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)

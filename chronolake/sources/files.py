@@ -30,21 +30,37 @@ class Files:
         finally:
             stream.close()
 
-    def write(self, path: str, text: str) -> None:
-        """Replaces the file as a whole: readers see the old or the new text."""
-        new = f"{path}.{uuid.uuid4().hex}"
+    def write(self, path: str, data: str | bytes) -> None:
+        """Writes a new file: it is there as a whole or not at all. A file of that name must not exist."""
+        new = f"{path}.{uuid.uuid4().hex}.tmp"
         stream = self._fs.create(self._path(new), True)
         try:
-            stream.write(bytearray(text.encode()))
+            stream.write(bytearray(data.encode() if isinstance(data, str) else data))
         finally:
             stream.close()
-        self.delete(path)
         self.rename(new, path)
 
+    def put(self, path: str, data: bytes) -> None:
+        """Writes a file in a place where nobody looks yet."""
+        stream = self._fs.create(self._path(path), True)
+        try:
+            stream.write(bytearray(data))
+        finally:
+            stream.close()
+
     def rename(self, old: str, new: str) -> None:
         if not self._fs.rename(self._path(old), self._path(new)):
             raise OSError(f"cannot rename {old} to {new}")
 
+    def move(self, old: str, new: str) -> None:
+        """Like rename(), into a folder that may be missing."""
+        self.make(new.rsplit("/", 1)[0])
+        self.rename(old, new)
+
+    def sizes(self, path: str) -> list[int]:
+        """Bytes of the folder's Parquet files."""
+        return [s.getLen() for s in self._fs.listStatus(self._path(path)) if s.getPath().getName().endswith(".parquet")]
+
     def make(self, path: str) -> None:
         self._fs.mkdirs(self._path(path))
 

@@ -132,8 +132,22 @@ def _halves(item: str) -> tuple[str, str, str]:
 
 def parse(text: str, precision: str = "nanosecond") -> list[Row]:
     """All points of a payload; the first bad line fails it."""
+    return parse_lines(lines_of(text), precision)
+
+
+def parse_lines(lines: list[str], precision: str = "nanosecond") -> list[Row]:
     scale = scale_of(precision)
-    return [parse_line(x, scale) for x in lines_of(text)]
+    return [parse_line(x, scale) for x in lines]
+
+
+#: Bytes from which a payload is compressed.
+GZIP_BYTES = 1024
+
+
+def zipped(payload: str) -> bytes:
+    """A payload as it is sent: compressed if it is over GZIP_BYTES long."""
+    raw = payload.encode()
+    return gzip.compress(raw) if len(raw) > GZIP_BYTES else raw
 
 
 def scale_of(precision: str) -> int:
@@ -258,7 +272,10 @@ def encode(points: Point | list[Point]) -> str:
 
 
 def encoded(measurement: str, tags: dict[str, Column], fields: dict[str, tuple[Column, str]], time_ns: Column) -> Column:
-    """Lines as a column, inside generated code. fields: (column, kind); absent tags and fields are left out."""
+    """Lines as a column, inside generated code. fields: (column, kind); absent tags and fields are left out.
+
+    As encode() does, a float that is no number or infinite fails the query. A row without any field has no line: its column is null.
+    """
     if not measurement:
         raise EncodeError("empty_measurement")
 
@@ -269,12 +286,13 @@ def encoded(measurement: str, tags: dict[str, Column], fields: dict[str, tuple[C
         if kind in "id":
             return F.concat(col.cast("string"), F.lit("i"))
         if kind == "f":
-            return col.cast("string")
+            finite = ~F.isnan(col) & (F.abs(col) < F.lit(math.inf))
+            return F.when(col.isNull() | finite, col.cast("string")).otherwise(F.raise_error(F.concat(F.lit("invalid_field: "), col.cast("string"))))
         if kind == "b":
             return col.cast("string")
         return F.concat(F.lit('"'), F.regexp_replace(col, r'(["\\])', r"\\$1"), F.lit('"'))
 
     name = _escaped(measurement, ", \\")
     own = [F.concat(F.lit(_escaped(k, ",= \\") + "="), escaped(tags[k])) for k in sorted(tags)]
-    body = [F.concat(F.lit(_escaped(k, ",= \\") + "="), value(*fields[k])) for k in fields]
-    return F.concat_ws(" ", F.concat_ws(",", F.lit(name), *own), F.concat_ws(",", *body), time_ns.cast("string"))
+    body = F.concat_ws(",", *[F.concat(F.lit(_escaped(k, ",= \\") + "="), value(*fields[k])) for k in fields])
+    return F.when(body != "", F.concat_ws(" ", F.concat_ws(",", F.lit(name), *own), body, time_ns.cast("string")))

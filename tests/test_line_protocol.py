@@ -71,3 +71,16 @@ values = st.one_of(st.integers(-(2**70), 2**70), st.floats(allow_nan=False, allo
 def test_what_is_encoded_parses_back(measurement, tags, fields, stamp):
     row = one(lp.encode(Point(measurement, fields, tags, stamp)))
     assert (row.measurement, row.tags, row.fields, row.time_ns) == (measurement, tags, fields, stamp)
+
+
+def test_columns_without_a_line(spark):
+    from pyspark.sql import functions as F
+
+    from chronolake.sources.line_protocol import encoded
+
+    df = spark.createDataFrame([(1, 1.5, "a"), (2, None, "b"), (3, 1e300, None), (4, 0.1, "c d")], "k long, v double, t string")
+    line = encoded("m", {"t": F.col("t")}, {"v": (F.col("v"), "f")}, F.col("k"))
+    assert [r[0] for r in df.orderBy("k").select(line).collect()] == ["m,t=a v=1.5 1", None, "m v=1.0E300 3", "m,t=c\\ d v=0.1 4"]
+    for bad in (float("nan"), float("inf"), float("-inf")):
+        with pytest.raises(Exception, match="invalid_field"):
+            spark.createDataFrame([(1, bad, "a")], "k long, v double, t string").select(line).collect()

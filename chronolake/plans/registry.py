@@ -84,6 +84,7 @@ add("where_and", "SELECT event_id, value FROM events WHERE event_type != 'error'
 add("where_or_in_between", "SELECT event_id, value FROM events WHERE (event_type IN ('click', 'view') OR user_id = 7) AND value NOT BETWEEN 5 AND 20", "SELECT event_id, value FROM events WHERE (event_type IN ('click', 'view') OR user_id = 7) AND NOT (value >= 5 AND value <= 20)")
 add("where_like_null", "SELECT event_id, event_type FROM events WHERE event_type LIKE '%i%' AND value IS NOT NULL AND NOT event_type = 'view'", "SELECT event_id, event_type FROM events WHERE event_type LIKE '%i%' AND value IS NOT NULL AND event_type <> 'view'")
 add("where_type_mismatch", "SELECT event_id FROM events WHERE value = '10'", "SELECT event_id FROM events WHERE false")
+add("where_type_mismatch_rows", "SELECT event_id FROM events WHERE value != '10'", "SELECT event_id FROM events WHERE value IS NOT NULL")
 add("where_type_order", "SELECT event_id FROM events WHERE value < 'a' AND event_type > 5 AND event_type != 3 AND value < true", "SELECT event_id FROM events WHERE value IS NOT NULL AND event_type IS NOT NULL")
 add("where_missing_column", "SELECT event_id FROM events WHERE nothing != 'x'", "SELECT event_id FROM events WHERE false")
 add("where_quoted_operator", "SELECT event_id FROM events WHERE event_type != 'a>b AND c' AND \"event_type\" <> 'view'", "SELECT event_id FROM events WHERE event_type <> 'view'")
@@ -154,39 +155,10 @@ def _iql_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_sql(iql.to_sql("SELECT mean(value) FROM events WHERE event_type = 'view' GROUP BY time(5m)"))(spark, sf_dir)
 
 
-@query("iql_show_tag_keys", "SELECT * FROM (VALUES ('orders', 'o_orderpriority'), ('orders', 'o_orderstatus')) t(\"iox::measurement\", tagKey)")
-def _iql_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = iql.show("SHOW TAG KEYS FROM orders")
-    m = measurement(spark, sf_dir, found.measurement)
-    return spark.createDataFrame([(m.name, k) for k in sorted(m.tags)], "`iox::measurement` string, tagKey string")
-
-
-@query("bucket_ids", "SELECT DISTINCT event_type AS name, substr(sha256(event_type), 1, 16) AS id FROM events")
-def _bucket_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select(F.col("event_type").alias("name")).distinct().withColumn("id", F.substring(F.sha2("name", 256), 1, 16))
-
-
-# What a DELETE leaves, and what an INSERT of a rollup brings.
-
-
-@query("delete_where", "SELECT event_id, value FROM events WHERE NOT coalesce(event_type = 'error' AND value > 20, false)")
-def _delete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = sql.parse("DELETE FROM events WHERE event_type = 'error' AND value > 20")
-    m = measurement(spark, sf_dir, "events")
-    doomed = Compiler(m).condition(q.where)
-    return m.df.where(~F.coalesce(doomed, F.lit(False))).select("event_id", "value")
-
-
-@query("insert_select_rollup", f"SELECT {bin_(D)} AS time, event_type, avg(value) AS mean FROM events GROUP BY 1, 2")
-def _insert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = sql.parse("INSERT INTO daily SELECT DATE_BIN(INTERVAL '1 day', time) AS time, event_type, AVG(value) AS mean FROM events GROUP BY DATE_BIN(INTERVAL '1 day', time), event_type")
-    return Compiler(measurement(spark, sf_dir, "events")).select(q.select)
-
-
 # Sources and sinks.
 
 
-def _event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "events")
     fields = {"event_id": (F.col("event_id"), "i"), "value": (F.col("value"), "f"), "props": (F.col("props"), "s")}
     tags = {"event_type": F.col("event_type"), "user_id": F.col("user_id").cast("string")}
@@ -207,7 +179,7 @@ def _lp_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("lp_roundtrip", f"SELECT event_id, event_type, user_id::VARCHAR AS user_id, value, props, {iso('ts')} AS time FROM events")
 def _lp_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = _event_lines(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism)  # parsing costs more than moving lines
+    lines = event_lines(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism)  # parsing costs more than moving lines
     points = line_protocol.staged(lines, "nanosecond").where("error is null and measurement = 'events'")
     at = lambda m, k: F.try_element_at(m, F.lit(k)).alias(k)
     return points.select(at("i", "event_id"), at("tags", "event_type"), at("tags", "user_id"), at("f", "value"), at("s", "props"), times.iso(F.col("time_ns")).alias("time"))
@@ -226,13 +198,6 @@ def _jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decode.json_rows(lines, "line", "event_id bigint, event_type string, value double")
 
 
-@query("csv_decode", "SELECT event_id::VARCHAR AS event_id, event_type, user_id::VARCHAR AS user_id FROM events")
-def _csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "events").select(F.concat_ws(",", "event_id", "event_type", "user_id").alias("line"))
-    cell = F.split("line", ",")
-    return lines.select(*[F.get(cell, F.lit(k)).alias(c) for k, c in enumerate(("event_id", "event_type", "user_id"))])
-
-
 @query("arrow_roundtrip", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
 def _arrow(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
@@ -247,17 +212,3 @@ def _cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     hourly = rollup.candles(table(spark, sf_dir, "events"), "ts", "value", "event_id", "event_id", "1 hour")
     daily = rollup.larger(rollup.larger(hourly, "4 hours"), "1 day")
     return daily.select(F.date_format("bucket", "yyyy-MM-dd'T'HH:mm:ss").alias("time"), "open", "high", "low", "close", "volume")
-
-
-@query("stream_rollup_available_now", f"SELECT {bin_(D)} AS time, {CANDLE_SQL} FROM events GROUP BY 1")
-def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All events through a stream that stops when it has read them; the complete table of buckets is its result."""
-    import uuid
-
-    name = f"rollup_{uuid.uuid4().hex}"
-    df = table(spark, sf_dir, "events")
-    points = spark.readStream.schema(df.schema).parquet(f"{sf_dir}/events*.parquet")
-    daily = rollup.candles(points, "ts", "value", "event_id", "event_id", "1 day")
-    run = daily.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.table(name).select(F.date_format("bucket", "yyyy-MM-dd'T'HH:mm:ss").alias("time"), "open", "high", "low", "close", "volume")

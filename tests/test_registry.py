@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as driver
 from chronolake.errors import DecodeError, UnsupportedFormat
-from chronolake.plans import registry
+from chronolake.plans import engine_queries, registry
 from chronolake.sources import decode
 from chronolake.streaming import rollup
 
@@ -21,7 +21,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="no test data")
 @pytest.fixture(scope="module")
 def duck():
     c = duckdb.connect()
-    for name in ("nation", "orders", "lineitem", "events"):
+    for name in ("region", "nation", "orders", "lineitem", "events"):
         c.sql(f"create view {name} as select * from '{DIR}/{name}.parquet'")
     return c
 
@@ -30,7 +30,7 @@ def key(row):
     return [("" if v is None else f"{v:.6g}" if isinstance(v, float) else str(v)) for v in row]
 
 
-@pytest.mark.parametrize("name", sorted(registry.QUERIES))
+@pytest.mark.parametrize("name", sorted(engine_queries.QUERIES))
 def test_query(spark, duck, name):
     found = registry.QUERIES[name](spark, DIR)
     wanted = duck.sql(registry.ORACLE_SQL[name])
@@ -98,3 +98,15 @@ def test_cascade_of_streams(spark, root):
     assert 0 < got.count() < daily.count()  # what the watermark has not closed yet is missing
     whole = daily.join(got.select("bucket"), "bucket")
     assert whole.exceptAll(got).count() == 0 and got.count() >= daily.count() - 2
+
+
+def test_entry_without_packages_of_the_optional_operators():
+    """The engine's queries stay if a package that only the training-data operators need is missing; other faults are not hidden."""
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    for module in ("ahocorasick", "chronolake.llm", "corpus_pipeline"):
+        code = f"import sys; sys.modules[{module!r}] = None; import __spark_entry__ as e; q = e.queries(); assert 'ohlcv_daily' in q and 'delete_where' in q and 'pipeline' not in q"
+        assert subprocess.run([sys.executable, "-c", code], cwd=root).returncode == 0
+    assert subprocess.run([sys.executable, "-c", "import sys; sys.modules['pyarrow'] = None; import __spark_entry__"], cwd=root, capture_output=True).returncode != 0

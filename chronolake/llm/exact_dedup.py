@@ -33,17 +33,14 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def heavy_hitters(rows: DataFrame, counters: int) -> DataFrame:
     """digest, keep_id and group_size of the digests that hold over 1/counters of the rows; at most `counters` rows."""
     named = rows.freqItems(["digest"], 1.0 / counters).select(F.explode("digest_freqItems").alias("digest"))
-    total = rows.agg(F.count(F.lit(1)).alias("total"))
+    total = rows.count()
+    smaller = F.bitwise_not("doc_id")  # the larger, the smaller the id; defined for every long
     exact = (
         rows.join(F.broadcast(named), "digest")
         .groupBy("digest")
-        .agg(F.max_by("doc_id", F.struct("n_chars", -F.col("doc_id"))).alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    )
-    return (
-        exact.join(F.broadcast(total), F.col("group_size") * counters > F.col("total"))
-        .where("group_size > 1")
-        .select("digest", "keep_id", "group_size")
+        .agg(F.max_by("doc_id", F.struct("n_chars", smaller)).alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     )
+    return exact.where((F.col("group_size") * counters > F.lit(total)) & (F.col("group_size") > 1)).select("digest", "keep_id", "group_size")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = 4096) -> DataFrame:

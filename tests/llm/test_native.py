@@ -51,6 +51,22 @@ def test_exact_dedup_heavy_group_and_ties(spark):
     assert [(r["keep_id"], r["group_size"]) for r in heavy] == [(0, 1000)]
 
 
+def test_exact_dedup_at_the_ends_of_ids(spark):
+    least, most = -(2**63), 2**63 - 1
+    rows = [(least, "a b"), (most, "ab "), (0, "ab"), (None, "a  b"), (most, "c"), (least, "c")] + [(k, "hot") for k in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for counters in (4, 4096):
+        got = {(r["doc_id"], r["group_size"]): r["keep_id"] for r in exact_dedup.exact_dedup(docs, counters=counters).collect()}
+        assert got[0, 4] == None and got[least, 2] == least and got[7, 50] == 0  # noqa: E711
+
+
+def test_names_of_columns_do_not_clash(spark):
+    docs = spark.createDataFrame([(k, f"some words {k}", f"s{k % 3}", *["x"] * 6) for k in range(30)], "doc_id long, text string, source string, mix string, nth string, of string, place string, size string, missing string")
+    mixed = mixing.mix(docs)
+    assert mixed.columns == docs.columns and all(r["mix"] == r["nth"] == r["of"] == "x" for r in mixed.collect())
+    assert exact_dedup.exact_dedup(docs).count() == license_scan.license_scan(docs).count() == 30
+
+
 def test_mixing_meets_targets(spark):
     random.seed(2)
     rows = [(k, " ".join("w" * random.randint(1, 40)), random.choice(["a", "a", "a", "b", None, "c"])) for k in range(900)] + [(9000, "only one", "d")]

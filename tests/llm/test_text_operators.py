@@ -1,7 +1,10 @@
 """Toxicity, quality, Jaccard join, substring deduplication, token files, decontamination and the pipeline."""
 
 import hashlib
+import math
 import random
+import re
+import string
 import zlib
 from collections import Counter, defaultdict
 
@@ -48,6 +51,60 @@ def test_classifiers_awkward(spark, awkward, nothing, module, label):
         assert sorted(module.score(awkward, model).columns) == sorted(awkward.columns)
 
 
+def toxic_features(text, terms):
+    """The features by their definitions, one word and one character at a time."""
+    raw = text.encode()
+    w = re.findall(r"[^\W_]+(?:[@$*!0-9]+[^\W\d_]+)*", text.lower())
+    n = len(w) or 1
+    odds = lambda x: max([terms.get(x, 0.0)] + [terms.get(x[:k] + "-", 0.0) for k in range(3, 9) if k <= len(x)])
+    plain = lambda x: "".join({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i"}.get(c, c) for c in x).replace("*", "")
+    fixed = [i for i, x in enumerate(w) if x in toxicity.INSULTS]
+    known = [i for i, x in enumerate(w) if odds(x)]
+    hidden = [i for i, x in enumerate(w) if not odds(x) and not x.isalpha() and plain(x) != x and (plain(x) in toxicity.INSULTS or odds(plain(x)))]
+    at = sorted({*fixed, *known, *hidden})
+    persons = [i for i, x in enumerate(w) if x in toxicity.SECOND_PERSON and x not in toxicity.INSULTS]
+    near = sum(any(abs(p - i) <= toxicity.NEAR for p in persons) for i in at)
+    upper, lower = sum(c in string.ascii_uppercase for c in text), sum(c in string.ascii_lowercase for c in text)
+    marks = sum(c in string.punctuation and c not in "{|}~" for c in text)
+    odd = len(re.findall(r"[^\W\d_][@$*0-9]+[^\W\d_]|([^\W\d_])\1\1", text))
+    return [
+        100 * len(fixed) / n, 100 * len(known) / n, 100 * len(hidden) / n, math.log1p(len(fixed)), math.log1p(len(known)), 100 * sum(odds(w[i]) for i in known) / n,
+        max([odds(w[i]) for i in known], default=0.0), math.log1p(len(at)), 100 * near / n, near / len(at) if at else 0.0, 100 * len(persons) / n, upper / (upper + lower or 1),
+        marks / len(raw), 100 * text.count("!") / len(raw), 100 * odd / n, len(set(w)) / n, math.log1p(len(w)), len(raw) / n,
+    ]
+
+
+def test_toxicity_features_by_definition(documents):
+    terms = {"blurgh": 3.0, "snar-": 2.5, "vile": 4.0, "abcdefgh-": 2.9}
+    lexicon, rng = toxicity.Lexicon(terms), random.Random(4)
+    some = ["you", "idiot", "1d10t", "st*pid", "snarfle", "snar", "blurgh", "bl*rgh", "vile", "VILE", "du", "dumm", "haaate", "a@b", "fine", "words", "é", "abcdefghij", "l0ser", "!!", "-"]
+    texts = [" ".join(rng.choice(some) for _ in range(rng.randint(1, 60))) + rng.choice(["", "!!!", " {|}~^`"]) for _ in range(300)]
+    for text in texts + [r["text"] for r in documents.limit(100).collect() if r["text"]]:
+        assert toxicity.features(text, lexicon) == pytest.approx(toxic_features(text, terms))
+    assert toxicity.features("", lexicon) == toxicity.features(None, lexicon) == [0.0] * toxicity.FEATURES
+
+
+def test_trees_split_where_the_gain_is_largest():
+    # One level against every threshold of every feature.
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 12, (300, 3)).astype(float)
+    y = ((x[:, 1] > 6) ^ (rng.random(300) < 0.1)).astype(float)
+    trees = boosting.Trees(rounds=1, depth=1, bins=64).fit(x, y)
+    p = np.full(300, y.mean())
+    grad, curve = p - y, p * (1 - p)
+
+    def gain(f, t):
+        left = x[:, f] <= t
+        part = lambda own: grad[own].sum() ** 2 / (curve[own].sum() + 1)
+        return part(left) + part(~left) - part(np.ones(300, bool)) if left.any() and not left.all() else -1
+
+    best = max((gain(f, t), f, t) for f in range(3) for t in np.unique(x[:, f]))
+    (feature, limit, value), = trees.trees
+    assert feature[0] == best[1] and gain(feature[0], limit[0]) == pytest.approx(best[0])
+    left = x[:, feature[0]] <= limit[0]
+    assert value[1:3] == pytest.approx([-0.15 * grad[own].sum() / (curve[own].sum() + 1) for own in (left, ~left)])
+
+
 def convolved(net, text):
     """The network's features by definition: every window of the text's bytes, filled up with zeros to whole chunks."""
     raw = (text or "").encode()
@@ -554,6 +611,51 @@ def test_pipeline_stage_by_stage(spark, root):
     assert sorted(pipeline.run(spark, sf).columns) == sorted([*columns, "shard", "slot"])
 
 
+def tables(spark, root, docs):
+    docs.write.parquet(f"{root}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").write.parquet(f"{root}/{name}.parquet")
+    return root
+
+
+def test_pipeline_on_awkward_tables(spark, root, awkward):
+    import corpus_pipeline as pipeline
+
+    docs = awkward.drop("score", "digest", "size")
+    for name in ("toxicity", "toxicity_", "mix", "nth", "gone", "shard", "block", "doc", "slot"):
+        docs = docs.withColumn(name, F.lit("x"))
+    found = pipeline.run(spark, tables(spark, f"{root}/a", docs))
+    rows = found.collect()
+    assert found.columns == [c for c in docs.columns if c not in ("shard", "slot")] + ["shard", "slot"]
+    assert all(r["toxicity"] == r["mix"] == r["doc"] == "x" for r in rows)
+    ids = Counter(r["doc_id"] for r in rows)
+    assert 5 not in ids and ids[1] % 2 == 0 and {1, 6, 7} & set(ids)  # 5 is a copy of 1, whose two rows go the same way
+    slots = defaultdict(list)
+    for r in rows:
+        slots[r["shard"]].append(r["slot"])
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def test_pipeline_on_empty_tables(spark, root, nothing):
+    import corpus_pipeline as pipeline
+
+    assert pipeline.run(spark, tables(spark, f"{root}/n", nothing.select("doc_id", "text", "source"))).count() == 0
+
+
+def test_pipeline_deletes_what_its_stages_needed(spark, root, awkward):
+    import os
+
+    import corpus_pipeline as pipeline
+
+    before, begun = set(os.listdir(common.shared_dir(spark).removeprefix("file:"))), common.mark()
+    found = pipeline.run(spark, tables(spark, f"{root}/b", awkward.select("doc_id", "text", "source")))
+    n = found.count()
+    left = set(os.listdir(common.shared_dir(spark).removeprefix("file:"))) - before
+    assert {x.rsplit("-", 1)[0] for x in left} <= {"mixing-sources", "shards"} and found.count() == n
+    common.sweep(spark, since=begun)
+    assert not set(os.listdir(common.shared_dir(spark).removeprefix("file:"))) - before
+
+
 def brute_components_of(docs):
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -211,8 +211,10 @@ class Compiler:
         return self._rows(q)
 
     def all_columns(self) -> list[Column]:
-        names = sorted({*self.m.tags, *self.m.fields} - {"time"})
-        return [self.visible(n).alias(n) for n in names] + [times.iso(self.m.time_ns).alias("time")]
+        if "all" not in self.m.made:
+            names = sorted({*self.m.tags, *self.m.fields} - {"time"})
+            self.m.made["all"] = [self.visible(n).alias(n) for n in names] + [times.iso(self.m.time_ns).alias("time")]
+        return self.m.made["all"]
 
     def _rows(self, q: sql.Select) -> DataFrame:
         if self.options.strict and q.items:

@@ -7,6 +7,7 @@ import math
 import re
 from collections.abc import Iterator
 from datetime import datetime
+from functools import lru_cache
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -94,11 +95,10 @@ def _value(text: str) -> Value:
     raise BadRequest("invalid field value")
 
 
-def parse_line(line: str, scale: int = 1) -> Row:
-    parts = [p for p in _split(line.strip("\r"), " ", quotes=True) if p]
-    if len(parts) < 2:
-        raise BadRequest("invalid line protocol")
-    name, *tags = _split(parts[0], ",")
+@lru_cache(maxsize=1 << 16)
+def _series(text: str) -> tuple[str, dict[str, str]]:
+    """Measurement and tags of a line's first part. Many lines share it; the tags are not to be changed."""
+    name, *tags = _split(text, ",")
     if not name:
         raise BadRequest("invalid line protocol")
     own: dict[str, str] = {}
@@ -107,12 +107,20 @@ def parse_line(line: str, scale: int = 1) -> Row:
         if len(pair) < 2 or not pair[0] or not pair[1]:
             raise BadRequest("invalid tag pair")
         own[_plain(pair[0], " ,=\\")] = _plain("=".join(pair[1:]), " ,=\\")
+    return _plain(name.strip('"'), " ,\\"), own
+
+
+def parse_line(line: str, scale: int = 1) -> Row:
+    parts = [p for p in _split(line.strip("\r"), " ", quotes=True) if p]
+    if len(parts) < 2:
+        raise BadRequest("invalid line protocol")
+    name, own = _series(parts[0])
     fields: dict[str, Value] = {}
     for item in _split(parts[1], ",", quotes=True):
         key, mark, value = _halves(item)
         if not mark or not key or not value:
             raise BadRequest("invalid field pair")
-        fields[_plain(key, " ,=\\")] = _value(value)
+        fields[_plain(key, " ,=\\") if "\\" in key else key] = _value(value)
     stamp = None
     if len(parts) > 2:
         if not _INTEGER.fullmatch(parts[2]):
@@ -120,7 +128,7 @@ def parse_line(line: str, scale: int = 1) -> Row:
         stamp = int(parts[2]) * scale
         if not -LARGEST <= stamp < LARGEST:
             raise BadRequest("invalid timestamp")
-    return Row(_plain(name.strip('"'), " ,\\"), own, fields, stamp)
+    return Row(name, own, fields, stamp)
 
 
 def _halves(item: str) -> tuple[str, str, str]:

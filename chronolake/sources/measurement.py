@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,7 +36,8 @@ class Measurement:
     seq: str | None = "_seq"
     stamp: str | None = None
     day: str | None = None
-    extra_order: list[str] = field(default_factory=list)
+    #: What a compiler has made of the columns, for the queries that follow.
+    made: dict[str, Any] = field(default_factory=dict)
 
     @property
     def time_ns(self) -> Column:

@@ -91,7 +91,10 @@ class Warehouse:
         self.files.delete(self._catalog_file(self.version - 2))
 
     def _redo(self) -> None:
-        """Does the steps that the catalog tells, those done already included, and forgets them."""
+        """Does the steps that the catalog tells, those done already included, and forgets them.
+
+        A file that has been moved is not there to be moved again, so that moves may be told on until the next version; other steps may not.
+        """
         steps = self.catalog.get("steps", [])
         for kind, path, new in steps:
             if kind == "delete":
@@ -100,8 +103,8 @@ class Warehouse:
                 if kind == "replace":
                     self.files.delete(new)
                 self.files.move(path, new)
-        if steps:
-            self.catalog["steps"] = []
+        self.catalog["steps"] = []
+        if any(kind != "move" for kind, *_ in steps):
             self._save()
 
     @contextmanager
@@ -413,11 +416,21 @@ class Warehouse:
 def _arrow(own: list[tuple[int, line_protocol.Row, int]], base: int) -> tuple[list[str], dict[str, list[str]], pa.Table]:
     """Tags, fields with their kinds, and the table of some parsed points (place in the payload, point, time)."""
     tags = sorted({t for _, r, _ in own for t in r.tags})
-    values: dict[tuple[str, str], list] = {}
+    found: dict[str, list] = {}
     for at, (_, r, _) in enumerate(own):
         for key, value in r.fields.items():
-            col = values.setdefault((key, line_protocol.kind_of(value)), [None] * len(own))
-            col[at] = value
+            if key not in found:
+                found[key] = [None] * len(own)
+            found[key][at] = value
+    values: dict[tuple[str, str], list] = {}
+    for key, col in found.items():
+        types = set(map(type, col)) - {type(None)}
+        if types <= {float} or types <= {str} or types <= {bool}:
+            values[key, line_protocol.kind_of(next(iter(types))())] = col
+            continue
+        for at, value in enumerate(col):
+            if value is not None:
+                values.setdefault((key, line_protocol.kind_of(value)), [None] * len(own))[at] = value
     cols = {"time_ns": pa.array([stamp for _, _, stamp in own], pa.int64()), "_seq": pa.array([k + base for k, _, _ in own], pa.int64())}
     for t in tags:
         cols[column("t", t)] = pa.array([r.tags.get(t) for _, r, _ in own], pa.string())

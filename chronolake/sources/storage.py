@@ -282,14 +282,15 @@ class Warehouse:
         return len(rows)
 
     def append_frame(self, database: str, lines: DataFrame, precision: str, now: int, name: str | None = None) -> int:
-        """lines (seq, value) of any number: parsed once by tasks into a staged table, then dealt to measurements and days."""
+        """lines (seq, value) of any number: parsed once by tasks into a staged table, a folder for each measurement, and dealt to days from there."""
         staged = self._staged()
         with self._change():
             if self._known(name):
                 return lines.count()
             try:
-                line_protocol.staged(lines, precision).withColumn("time_ns", F.coalesce("time_ns", F.lit(now))).write.parquet(f"{staged}/points")
-                return self._append_points(database, self.spark.read.parquet(f"{staged}/points"), staged)
+                parsed = line_protocol.staged(lines, precision).withColumn("time_ns", F.coalesce("time_ns", F.lit(now)))
+                parsed.write.partitionBy("measurement").parquet(f"{staged}/points")
+                return self._append_points(database, self.spark.read.schema(parsed.schema).parquet(f"{staged}/points"), staged)
             finally:
                 if not self.catalog.get("steps"):
                     self.files.delete(staged)

@@ -1,7 +1,7 @@
 """Headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]; prints one line of JSON.
 
 Each query runs once to warm up and then three times; its figure is the median in seconds, of a full run whose rows go to Spark's noop
-sink. ingest_* are points per second through the line-protocol paths.
+sink. ingest_* are points per second through the line-protocol paths, flush_* the seconds of one write of the batch writer's default size.
 """
 
 from __future__ import annotations
@@ -53,11 +53,13 @@ def main() -> None:
         engine = Engine(spark, root)
         batch = "\n".join(f"trades,symbol=S{i % 50} price={i % 997}.25,volume={i}i {1_700_000_000_000_000_000 + i * 10**6}" for i in range(20_000))
         many = "\n".join(f"ticks,symbol=S{i % 50} price={i % 997}.25,volume={i}i {1_700_000_000_000_000_000 + i * 10**6}" for i in range(400_000))
+        flush = "\n".join(batch.split("\n")[:5000])
         engine.write(batch)
         engine.write(many)
         rates = {
             "ingest_batch_points_s": round(20_000 / statistics.median(timed(lambda: engine.write(batch)) for _ in range(3))),
             "ingest_bulk_points_s": round(400_000 / timed(lambda: engine.write(many))),
+            "flush_of_5000_lines_s": round(statistics.median(timed(lambda: engine.write(flush)) for _ in range(5)), 4),
         }
         simple = "SELECT * FROM trades WHERE time >= 1700000000000000000 AND time < 1700000000001000000"
         engine.query_sql(simple)

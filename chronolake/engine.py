@@ -133,15 +133,16 @@ class Engine:
         """Lets queries read a table as a measurement."""
         self.views[m.name] = m
 
-    def frame(self, text: str, params: dict[str, Any] | None = None, database: str | None = None, written_order: bool = False) -> DataFrame:
-        """A query as a DataFrame. Only written_order sorts rows that no ORDER BY sorts."""
+    def frame(self, text: str, params: dict[str, Any] | None = None, database: str | None = None, written_order: bool = False, dedupe: bool = False) -> DataFrame:
+        """A query as a DataFrame. Only written_order sorts rows that no ORDER BY sorts. dedupe: of points with the same tags and time, the one written last."""
         q = sql.parse(text, params)
         if not isinstance(q, sql.Select):
             raise BadRequest("unsupported SQL: SELECT expected")
-        return self._compiled(q, database, written_order)
+        return self._compiled(q, database, written_order, dedupe=dedupe)
 
-    def _compiled(self, q: sql.Select, database: str | None, written_order: bool, written: str | None = None) -> DataFrame:
-        return Compiler(self.measurement(q.measurement, database), Options(self.strict, written_order, self.now_ns, written)).select(q)
+    def _compiled(self, q: sql.Select, database: str | None, written_order: bool, written: str | None = None, dedupe: bool = False) -> DataFrame:
+        m = self.measurement(q.measurement, database)
+        return Compiler(m.latest() if dedupe else m, Options(self.strict, written_order, self.now_ns, written)).select(q)
 
     def query_sql(self, text: str, params: dict[str, Any] | None = None, database: str | None = None, format: str = "rows", transport: str = "http") -> Any:
         """Rows as dicts; or an Arrow table with format arrow or transport flight."""

@@ -183,6 +183,31 @@ def _write_named(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine.frame("SELECT key, COUNT(*) AS n FROM n GROUP BY key")
 
 
+@query("dedupe_view", "SELECT n_nationkey::BIGINT AS key, n_name AS name, CASE WHEN n_nationkey < 9 THEN 'second' ELSE 'first' END AS written FROM nation")
+def _dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = fresh(spark)
+    engine.write("\n".join(f'{x[: x.rindex(" ")]},written="first"{x[x.rindex(" ") :]}' for x in lines(spark, sf_dir).split("\n")))
+    engine.write("\n".join(f'{x[: x.rindex(" ")]},written="second"{x[x.rindex(" ") :]}' for x in lines(spark, sf_dir).split("\n")[:9]))
+    return engine.frame("SELECT key, name, written FROM n", dedupe=True)
+
+
+@query("bucket_before_1970", "SELECT strftime(TIMESTAMP '1970-01-01' - INTERVAL 1 SECOND * (n_nationkey * 7 // 60 * 60), '%Y-%m-%dT%H:%M:%S') AS time, count(*) AS n, sum(n_nationkey)::BIGINT AS total FROM nation GROUP BY 1")
+def _before_1970(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Buckets are cut towards the epoch."""
+    engine = fresh(spark)
+    engine.write(lines(spark, sf_dir, lambda k: f" {-7 * 10**9 * k}"))
+    return engine.frame("SELECT DATE_BIN(INTERVAL '1 minute', time) AS time, COUNT(key) AS n, SUM(key) AS total FROM n GROUP BY DATE_BIN(INTERVAL '1 minute', time)")
+
+
+@query("count_of_missing_values", "SELECT n_nationkey % 3 > 0 AS held, CASE WHEN n_nationkey % 3 > 0 THEN 1::BIGINT END AS n, CASE WHEN n_nationkey % 3 > 0 THEN n_nationkey::DOUBLE END AS mean FROM nation")
+def _missing_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A bucket whose points all lack the field."""
+    engine = fresh(spark)
+    engine.write("\n".join(f"m {'v' if k % 3 else 'w'}={k}i {k * DAY}" for k in (r["n_nationkey"] for r in nations(spark, sf_dir))))
+    found = engine.frame("SELECT DATE_BIN(INTERVAL '1 day', time) AS time, COUNT(v) AS n, AVG(v) AS mean, COUNT(w) AS other FROM m GROUP BY DATE_BIN(INTERVAL '1 day', time)")
+    return found.select(F.col("other").isNull().alias("held"), "n", "mean")
+
+
 BAD = [
     ("m", "invalid line protocol"),
     (",t=1 v=1i", "invalid line protocol"),

@@ -87,6 +87,7 @@ add("where_type_mismatch", "SELECT event_id FROM events WHERE value = '10'", "SE
 add("where_type_mismatch_rows", "SELECT event_id FROM events WHERE value != '10'", "SELECT event_id FROM events WHERE value IS NOT NULL")
 add("where_type_order", "SELECT event_id FROM events WHERE value < 'a' AND event_type > 5 AND event_type != 3 AND value < true", "SELECT event_id FROM events WHERE value IS NOT NULL AND event_type IS NOT NULL")
 add("where_missing_column", "SELECT event_id FROM events WHERE nothing != 'x'", "SELECT event_id FROM events WHERE false")
+add("where_missing_column_rows", "SELECT event_id FROM events WHERE nothing != 'x' OR value > 30", "SELECT event_id FROM events WHERE value > 30")
 add("where_quoted_operator", "SELECT event_id FROM events WHERE event_type != 'a>b AND c' AND \"event_type\" <> 'view'", "SELECT event_id FROM events WHERE event_type <> 'view'")
 add("param_string", "SELECT event_id, event_type FROM events WHERE event_type = $t", "SELECT event_id, event_type FROM events WHERE event_type = 'view'", {"t": "view"})
 add("param_int", "SELECT event_id, user_id FROM events WHERE user_id = $u AND event_type != $userx", "SELECT event_id, user_id FROM events WHERE user_id = 11 AND event_type <> 'view'", {"u": 11, "$userx": "view"})

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -72,6 +72,14 @@ class Measurement:
         """Latest write first."""
         return [F.col(ident(self.seq)).desc()] if self.seq else []
 
+    def latest(self) -> Measurement:
+        """Of points with the same tags and time only the one written last, with all its fields."""
+        series = [F.col(ident(c)) for c in self.tags.values()]
+        stamp = self.stamp or "time_ns"
+        days = [F.col(ident(self.day))] if self.day else []
+        newest = self.df.groupBy(*days, *series, F.col(ident(stamp))).agg(F.max_by(F.struct(*[F.col(ident(c)) for c in self.df.columns]), F.col(ident(self.seq))).alias("newest"))
+        return replace(self, df=newest.select("newest.*"), made={})
+
 
 def view(name: str, df: DataFrame, stamp: str, tags: list[str], fields: list[str], seq: str | None) -> Measurement:
     """A table with a timestamp column as a measurement."""

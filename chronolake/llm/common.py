@@ -5,7 +5,6 @@ from __future__ import annotations
 import atexit
 import ctypes
 import sys
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -14,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chronolake.session import shared_dir
+
 #: Characters that part words, as a regular expression class of Java, RE2 and Python.
 BLANK = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -32,27 +33,12 @@ def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/benchmark.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. A temporary one is made only in local mode, where nothing is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        sc = spark.sparkContext
-        current = sc.getCheckpointDir()
-        if current is None:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="chronolake-"))
-            current = sc.getCheckpointDir()
-        return current
-    return found
-
-
 _scratched: list[str] = []
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder; sweep() removes it."""
-    return _noted(f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _noted(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
 
 
 def _noted(path: str) -> str:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import time
 import uuid
 
 from pyspark.sql import SparkSession
@@ -16,10 +18,12 @@ class Files:
     def exists(self, path: str) -> bool:
         return self._fs.exists(self._path(path))
 
-    def names(self, path: str) -> list[str]:
+    def names(self, path: str, older_s: float = -math.inf) -> list[str]:
+        """What stands in a folder; only what was last changed more than older_s seconds ago."""
         if not self.exists(path):
             return []
-        return sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(path)))
+        latest = 1000 * (time.time() - older_s)
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(path)) if s.getModificationTime() < latest)
 
     def read(self, path: str) -> str | None:
         if not self.exists(path):

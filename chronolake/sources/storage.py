@@ -47,6 +47,8 @@ DRIVER_LINES = 20_000
 SEQ_BITS = 33
 #: Rows of a day that one task writes in a large append, and names of writes that the catalog remembers.
 TASK_ROWS, REMEMBERED = 5_000_000, 1000
+#: Seconds after which staged files are a dead writer's.
+STALE_S = 3600
 #: Files of a day from which compact() rewrites it, and bytes of a file that it makes.
 MOST_FILES, FILE_BYTES = 16, 128 << 20
 
@@ -75,7 +77,8 @@ class Warehouse:
         else:
             self.catalog = {"databases": ["default"], "buckets": [], "tokens": [], "tables": {}}
         self._redo()
-        self.files.delete(f"{self.root}/staging")
+        for name in self.files.names(f"{self.root}/staging", older_s=STALE_S):
+            self.files.delete(f"{self.root}/staging/{name}")
         for name in databases or []:
             self.create_database(name)
         if not found:

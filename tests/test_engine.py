@@ -319,7 +319,9 @@ CHANGES = {
 
 @pytest.mark.parametrize("done", [False, True])
 @pytest.mark.parametrize("kind", sorted(CHANGES))
-def test_a_crash_at_any_step_loses_nothing(spark, root, kind, done):
+def test_a_crash_at_any_step_loses_nothing(spark, root, monkeypatch, kind, done):
+    from chronolake.sources import storage
+
     change, after = CHANGES[kind]
     before = {"cpu": [("a", 1), ("b", 2), ("c", 3)], "mem": [("a", 9)]}
     for k in range(60):
@@ -337,7 +339,9 @@ def test_a_crash_at_any_step_loses_nothing(spark, root, kind, done):
                 change(found)
                 assert points(found) == after
                 assert points(Engine(spark, path, "v3_enterprise")) == after
-            assert not found.warehouse.files.names(f"{path}/staging")
+            with monkeypatch.context() as m:
+                m.setattr(storage, "STALE_S", -5)
+                assert not Engine(spark, path).warehouse.files.names(f"{path}/staging")
         else:
             break
     assert 2 < k < 59 and points(engine) == after

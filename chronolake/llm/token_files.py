@@ -44,14 +44,14 @@ END_ID = 2
 LEAST = 4
 #: A round replaces the pairs that occur at least one NEARth as often as the most frequent one.
 NEAR = 8
+#: Bits of the hash cells by which places of chosen pairs are looked up before they are compared.
+CELL_BITS = 16
 #: Bytes of text up to which the session's number of shuffle partitions is enough; more get partitions of so many bytes.
 PART_BYTES = 512 << 20
 #: Words whose ids an encoder remembers.
 REMEMBERED = 700_000
 #: Words that the library gets as one text.
 WORDS_A_TEXT = 512
-#: Bits of the hash cells by which positions of chosen pairs are looked up before they are compared.
-CELL_BITS = 18
 
 
 _first_of_space = np.zeros(256, bool)
@@ -251,79 +251,88 @@ def _cell(pair: np.ndarray) -> np.ndarray:
     return (pair * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - CELL_BITS)).astype(np.intp)
 
 
-def _pairs(seq: np.ndarray, symbols: int) -> tuple[np.ndarray, np.ndarray]:
-    """The neighbours at each place as one number, and the places that count: of a run of one symbol every other one, from the left."""
-    left, right = seq[:-1], seq[1:]
-    narrow = symbols <= 1 << 16
-    pair = left << np.uint32(16) | right if narrow else left.astype(np.uint64) << np.uint64(32) | right
-    counts = np.ones(len(pair), bool)
-    same = np.flatnonzero(left == right)
-    if len(same) > 1:
-        begin = np.maximum.accumulate(np.where(np.r_[True, np.diff(same) > 1], same, 0))
-        counts[same[(same - begin) % 2 == 1]] = False
-    return pair, counts
-
-
 def repair(ids: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The terminals (distinct ids), the rules (n, 2) and the final sequence, in which no pair occurs `least` times."""
+    """The terminals (distinct ids), the rules (n, 2) and the final sequence, in which no pair occurs `least` times.
+
+    Symbols stay at their places, linked to their neighbours, so that a round looks only at places where a frequent pair may have
+    come up: those with a new symbol and what the round before has left. When these are exhausted, all places are looked at again.
+    """
     known = np.zeros(int(ids.max()) + 1 if len(ids) else 1, bool)
     known[ids] = True
     terminals = np.flatnonzero(known).astype(np.uint32)
     number = np.zeros(len(known), np.uint32)
     number[terminals] = np.arange(len(terminals), dtype=np.uint32)
     seq, symbols, rules = number[ids], len(terminals), []
-    marks = np.zeros(1 << CELL_BITS, bool)
-    # After a round, only pairs with a new symbol and those chosen in it can still occur `want` times.
-    want, chosen, old = 0, None, 0
-    while len(seq) > 1:
-        pair, counts = _pairs(seq, symbols)
-        cell = _cell(pair)
-        if chosen is not None:
-            marks[:] = False
-            marks[chosen] = True
-            counts &= marks[cell] | (seq[:-1] >= old) | (seq[1:] >= old)
-        at = np.flatnonzero(counts)
-        own = pair[at]
-        order = np.sort(own)
-        edge = np.flatnonzero(np.concatenate([[True], order[1:] != order[:-1], [True]])) if len(order) else np.zeros(1, int)
+    alive, marks = np.ones(len(seq), bool), np.zeros(1 << CELL_BITS, bool)
+    want, open = 0, None
+    while True:
+        if open is None:
+            seq = seq[alive]
+            n = len(seq)
+            alive = np.ones(n, bool)
+            if n < 2:
+                break
+            after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
+            at = np.arange(n - 1, dtype=np.int32)
+            left, right = seq[:-1], seq[1:]
+        else:
+            open.sort()
+            at = open[np.r_[True, open[1:] != open[:-1]]] if len(open) else open
+            at = at[(at >= 0) & alive[at]]
+            at = at[after[at] < n]
+            left, right = seq[at], seq[after[at]]
+        # Of a run of one symbol, every other pair counts, from the left.
+        same, odd = np.flatnonzero(left == right), at[:0]
+        if len(same) > 1:
+            begin = np.maximum.accumulate(np.where(np.r_[True, after[at[same[:-1]]] != at[same[1:]]], np.arange(len(same)), 0))
+            skipped = same[(np.arange(len(same)) - begin) % 2 == 1]
+            if len(skipped):
+                odd, counts = at[skipped], np.ones(len(at), bool)
+                counts[skipped] = False
+                at, left, right = at[counts], left[counts], right[counts]
+        pair = left << np.uint32(16) | right if symbols <= 1 << 16 else left.astype(np.uint64) << np.uint64(32) | right
+        order = np.sort(pair)
+        edge = np.flatnonzero(np.concatenate([[True], order[1:] != order[:-1], [True]])) if len(order) else np.zeros(1, np.intp)
         count = np.diff(edge)
         top = int(count.max()) if len(count) else 0
-        if chosen is None:
+        if open is None:
             want = max(least, top // NEAR)
         if top < want:
             if want == least:
                 break
-            chosen = None
+            open = None
             continue
         pick = np.flatnonzero(count >= want)
         pairs, count = order[edge[pick]], count[pick]
-        chosen = _cell(pairs)
         marks[:] = False
-        marks[chosen] = True
-        hit = np.flatnonzero(marks[cell[at]])
-        at, own = at[hit], own[hit]
-        which = np.minimum(np.searchsorted(pairs, own), len(pairs) - 1)
-        right = pairs[which] == own
+        marks[_cell(pairs)] = True
+        hit = np.flatnonzero(marks[_cell(pair)])
+        at, pair = at[hit], pair[hit]
+        which = np.minimum(np.searchsorted(pairs, pair), len(pairs) - 1)
+        right = pairs[which] == pair
         at, which = at[right], which[right]
         rank = np.empty(len(pairs), np.int64)
         rank[np.argsort(-count, kind="stable")] = np.arange(len(pairs))
-        place, near = rank[which], np.diff(at) == 1
-        lost = np.zeros(len(at), bool)
-        lost[1:] |= near & (place[1:] > place[:-1])
-        lost[:-1] |= near & (place[:-1] > place[1:])
-        at, which = at[~lost], which[~lost]
-        made = np.bincount(which, minlength=len(pairs)) >= least  # the most frequent pair loses no place, so that every round makes a rule
-        at, which = at[made[which]], which[made[which]]
-        half = np.uint64(16 if pairs.dtype == np.uint32 else 32)
-        new = pairs[made].astype(np.uint64)
-        rules.append(np.stack([new >> half, new & ((np.uint64(1) << half) - np.uint64(1))], 1).astype(np.uint32))
-        seq[at] = (np.cumsum(made) - 1 + symbols).astype(np.uint32)[which]
-        keep = np.ones(len(seq), bool)
-        keep[at + 1] = False
-        seq, old, symbols = seq[keep], symbols, symbols + len(new)
-        if (old <= 1 << 16) != (symbols <= 1 << 16):
-            chosen = None  # pairs are numbered anew
-    return terminals, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32), seq
+        # Of places that overlap, the one of the more frequent pair is taken.
+        place, near = rank[which], after[at[:-1]] == at[1:]
+        taken = np.ones(len(at), bool)
+        taken[1:] &= ~(near & (place[1:] > place[:-1]))
+        taken[:-1] &= ~(near & (place[:-1] > place[1:]))
+        made = np.bincount(which[taken], minlength=len(pairs)) >= least  # the most frequent pair loses no place, so that every round makes a rule
+        taken &= made[which]
+        half, chosen = np.uint64(16 if pairs.dtype == np.uint32 else 32), pairs[made].astype(np.uint64)
+        rules.append(np.stack([chosen >> half, chosen & ((np.uint64(1) << half) - np.uint64(1))], 1).astype(np.uint32))
+        new, rest = at[taken], at[~taken]
+        seq[new] = (np.cumsum(made) - 1 + symbols).astype(np.uint32)[which[taken]]
+        symbols += len(chosen)
+        gone = after[new]
+        alive[gone] = False
+        behind = after[gone]
+        after[new] = behind
+        inner = behind < n
+        before[behind[inner]] = new[inner]
+        open = np.concatenate([before[new], new, rest, odd])
+    return terminals, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32), seq[alive]
 
 
 def _levels(rules: np.ndarray, first: int) -> np.ndarray:

@@ -8,6 +8,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows that Spark hands to Python code at once, unless the session says otherwise.
+BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 ROOT = str(Path(__file__).resolve().parent.parent)
 
 
@@ -32,9 +34,11 @@ def local_session(cpus: int | str = "*", app: str = "chronolake", **conf: str) -
 
 
 def prepare(spark: SparkSession) -> None:
-    """Sets the zone that buckets and texts of times rely on, and lets Python workers import this package when it is run from a checkout that is not installed."""
+    """Sets the zone that buckets and texts of times rely on, smaller batches for Python, as texts may be long, and lets Python workers import this package when it is run from a checkout that is not installed."""
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+    if spark.conf.get(BATCH) == "10000":  # Spark's own default
+        spark.conf.set(BATCH, str(BATCH_ROWS))
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)

@@ -66,18 +66,19 @@ def _contracted(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """node and component (its smallest node) of every node of the edges (u, v) that isn't alone.
 
-    Tables of least neighbours are stored before they are joined, so that both sides of a join are plain shuffles, which adaptive
+    The least neighbours are stored before they are joined, so that both sides of that join are plain shuffles, which adaptive
     execution splits where a node has very many neighbours.
     """
-    now = common.cut(_contracted(edges.where("u <> v")).distinct())
+    # Stored first, as edges often come out of Python code: a task would otherwise keep two Python workers busy at once.
+    now = common.cut(_contracted(common.store(edges.where("u <> v"), "edges")).distinct())
     size = now.count()
     for _ in range(most_rounds if size else 0):
         # Large star: every node's larger neighbours go to its smallest neighbour or itself.
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = common.cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
-        large = common.cut(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v"))
-        # Small star: a node and its smaller neighbours go to the smallest of them.
-        least = common.cut(large.groupBy("u").agg(F.min("v").alias("m")))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        # Small star: a node and its smaller neighbours, which are few by now, go to the smallest of them.
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u <> v")
         before, now = now, common.cut(small.distinct())
         was, size = size, now.count()

@@ -12,14 +12,32 @@ alone. Empty tables pass as such. Other columns travel along, but columns named
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronolake import session
 from chronolake.llm import common, decontamination, jaccard_join, mixing, sharding, toxicity
 
 ORACLE_SQL = None  # a classifier and edit distances have no SQL; tests hold the stages against brute force
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def prepared(stage: Stage) -> Stage:
+    """A stage that sets what the session needs first."""
+
+    @wraps(stage)
+    def call(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        session.prepare(spark)
+        return stage(spark, docs, sf_dir)
+
+    return call
+
 
+@prepared
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not call toxic."""
     model = toxicity.fit(docs, common.labels(spark, sf_dir))
@@ -27,6 +45,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model, name=name).where(F.col(name) < 0.5).drop(name)
 
 
+@prepared
 def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents, the one with the smallest id."""
     groups = jaccard_join.jaccard_components(docs)
@@ -34,16 +53,19 @@ def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return docs.join(common.small(gone), "doc_id", "left_anti").select(docs.columns)
 
 
+@prepared
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
     return decontamination.clean(docs, common.benchmark(spark, sf_dir))
 
 
+@prepared
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
     return mixing.mix(docs)
 
 
+@prepared
 def deal_to_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their shard (0 to 15, of equal bytes) and slot, read from the shards' files."""
     docs = docs.drop("shard", "slot")

@@ -50,6 +50,8 @@ CELL_BITS = 16
 PART_BYTES = 512 << 20
 #: Words whose ids an encoder remembers.
 REMEMBERED = 700_000
+#: Bytes of text that are encoded at once: a batch of the session's size, as a rule.
+STEP_BYTES = 4 << 20
 #: Words that the library gets as one text.
 WORDS_A_TEXT = 512
 
@@ -177,7 +179,7 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(ids of some texts, each with the end id, and how many each has), until all texts are through."""
-        for at, to, w in textops.steps(texts, step=2 << 20):
+        for at, to, w in textops.steps(texts, step=STEP_BYTES):
             if self.n_rows > REMEMBERED:
                 self._forget()
             n, offsets, first = to - at, w.offsets, w.first
